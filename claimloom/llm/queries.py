@@ -30,6 +30,20 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every document."""
+    from claimloom.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    from claimloom.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top 20 of every twentieth vector."""
     from claimloom.llm.topk import top_k
@@ -76,6 +90,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_licenses": op2_licenses,
+    "op3_token_counts": op3_token_counts,
     "op4_topk": op4_topk,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
