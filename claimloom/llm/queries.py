@@ -81,6 +81,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without strings that occur earlier."""
+    from claimloom.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     from claimloom.llm.pii import personal_data
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
 }
 
