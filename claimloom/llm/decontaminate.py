@@ -258,12 +258,13 @@ def decontaminate(
 
 def contaminated_column(text: Column | str, benchmark: DataFrame) -> Column:
     """Whether a text holds a benchmark window (null: no)."""
-    out = F.lit(False)
-    for index in indexes(benchmark):
-
-        def has(texts: pa.Array, index=index) -> pa.Array:
+    def hit(index) -> Column:
+        def has(texts: pa.Array) -> pa.Array:
             return pa.array([len(x[1]) > 0 for x in scan(texts.to_pylist(), index.value)], pa.bool_())
 
-        has.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        out = out | F.arrow_udf(has, "boolean")(text)
+        return F.arrow_udf(has, "boolean")(text)
+
+    out = F.lit(False)
+    for index in indexes(benchmark):
+        out = out | hit(index)
     return out
