@@ -1,22 +1,86 @@
-"""A training-corpus pipeline over ``documents``, stage by stage."""
+"""A training-corpus pipeline over ``documents``, stage by stage.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns what it keeps
+with the columns of ``docs``; the last one adds token columns.  The
+driver writes each result and reads it again as the next stage's input.
+
+Null texts count as empty everywhere and stay unless a stage says
+otherwise; repeated rows are one near-duplicate group, of which one row
+stays; an empty table passes through; extra columns are kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, toxicity
+from claimloom.llm.common import bounded_batches, checkpoint
+from claimloom.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject (score below 0.5)."""
+    bounded_batches(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(toxicity.score_column("text", model, spark) < 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id."""
+    bounded_batches(spark)
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    bounded_batches(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.where(~decontaminate.contaminated_column("text", benchmark))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark; ``n_chars`` follows."""
+    bounded_batches(spark)
+    masked = docs.withColumn("text", secrets.masked_column("text", secrets.fit(docs)))
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with ``token_ids``, ``n_tokens`` and ``round_trip``
+    (the ids decode to the text; a null text encodes as the empty one)."""
+    bounded_batches(spark)
+    coded = docs.withColumn("token_ids", sentencepiece_codec.encode_column("text", piece_model()))
+    decoded = sentencepiece_codec.decode_column("token_ids", piece_model())
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("bigint")).withColumn(
+        "round_trip", decoded == F.coalesce("text", F.lit(""))
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("sentencepiece", encode),
+]
 
 #: SQL can express neither the trained classifier nor the fingerprints.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; between two of them the lineage is
+    cut in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)
     return docs
