@@ -2,15 +2,16 @@
 
 Texts and templates are normalised (lower case, words of letters and
 digits); a line - or a paragraph, for templates of several lines - is
-compared with a template by twice the number of shared distinct bigrams
-over the sum of both numbers.  A coefficient of t needs sizes within
-t / (2 - t) of each other, so templates are kept by size and only those
-in range are compared; lines out of every range are not even split.
+compared with a template by twice the number of shared bigrams (repeats
+count) over the sum of both numbers.  A coefficient of t needs sizes
+within t / (2 - t) of each other, so only templates in range are
+compared, and of lines out of every range no bigrams are built.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,10 +64,10 @@ TEMPLATES = {
 WORDS = re.compile(r"[^\W_]+")
 
 
-def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    """Distinct bigrams of the normalised words."""
+def bigrams(text: str) -> Counter[tuple[str, str]]:
+    """Bigrams of the normalised words, with repeats."""
     w = WORDS.findall(text.lower())
-    return frozenset(zip(w, w[1:]))
+    return Counter(zip(w, w[1:]))
 
 
 class Templates:
@@ -74,24 +75,23 @@ class Templates:
 
     def __init__(self, texts: dict[str, list[str]] | None = None, dice: float = DICE):
         self.dice = dice
-        self.all = [(name, bigrams(t)) for name, ts in sorted((texts or TEMPLATES).items()) for t in ts]
-        self.all = [(n, b) for n, b in self.all if b]
-        ratio = dice / (2 - dice)
-        self.ratio = ratio
-        self.least = min((len(b) for _, b in self.all), default=1) * ratio
-        self.most = max((len(b) for _, b in self.all), default=0) / ratio
+        self.all = [(name, b, b.total()) for name, ts in sorted((texts or TEMPLATES).items()) for b in map(bigrams, ts) if b]
+        self.ratio = dice / (2 - dice)
+        self.least = min((n for _, _, n in self.all), default=1) * self.ratio
+        self.most = max((n for _, _, n in self.all), default=0) / self.ratio
 
     def best(self, text: str) -> tuple[float, str] | None:
         """Best coefficient and licence, ties to the first name."""
-        b = bigrams(text)
-        n = len(b)
+        w = WORDS.findall(text.lower())
+        n = len(w) - 1
         if not self.least <= n <= self.most:
             return None
+        b = Counter(zip(w, w[1:]))
         found = None
-        for name, t in self.all:
-            if min(n, len(t)) < self.ratio * max(n, len(t)):
+        for name, t, size in self.all:
+            if min(n, size) < self.ratio * max(n, size):
                 continue  # the size alone rules it out
-            d = 2 * len(b & t) / (n + len(t))
+            d = 2 * (b & t).total() / (n + size)
             if d >= self.dice and (found is None or d > found[0]):
                 found = d, name
         return found

@@ -176,8 +176,17 @@ class Codec:
 
     def decode(self, ids) -> str:
         """Text of ids: control ids vanish, each byte that is not part of
-        valid UTF-8 becomes U+FFFD, the dummy space goes."""
-        return self.decode_bytes(ids).decode("utf-8", "replace_each_byte")
+        valid UTF-8 becomes U+FFFD, the dummy space goes.  Bytes on both
+        sides of a control id don't form a character."""
+        ids = list(ids)
+        runs, at = [], 0
+        first = next((i for i in ids if self.piece_bytes[i]), None)
+        for k, i in enumerate([*ids, self.bos]):
+            if not self.piece_bytes[i]:
+                runs.append(b"".join(map(self.piece_bytes.__getitem__, ids[at:k])).decode("utf-8", "replace_each_byte"))
+                at = k + 1
+        out = "".join(runs)
+        return out[1:] if first in self.plain and out[:1] == " " else out
 
     def check(self, segments: list[str], packed: list[bytes]) -> None:
         """Compare segments' ids with the library's."""
