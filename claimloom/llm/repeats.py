@@ -11,10 +11,15 @@ trigger, the phrase's key.
 1. Copies of whole texts are settled by their digest.
 2. The dictionary: keys are counted over all documents; only phrases with
    a repeated key can hold a repeated window.
-3. Equal contexts: all but the first are repeated as a whole.
+3. The parse: equal contexts - all but the first are repeated whole.
 4. Where one key has several contexts (the ends of a repeat, edits), the
-   first of each context gives its windows one by one, and equal windows
-   are found by a 128-bit hash.
+   first of each is one dictionary entry of a bucket of such keys.  The
+   suffix array of the bucket's dictionary, combined with the places of
+   its entries in the parse, orders the windows: neighbours that share
+   ``LENGTH`` bytes are equal, and all but the first place of each group
+   are repeated.  Equal windows have one key and so one bucket.
+5. A key with more contexts than a bucket may hold is split by content:
+   its windows go one by one to the partition of their 128-bit hash.
 
 Only sizes that are fixed reach the driver or every executor: bitmaps
 that tell which phrases to send, whose false hits cost rows but never
@@ -37,6 +42,8 @@ from claimloom.llm.common import checkpoint, map_batches
 #: Bytes of a repeated string; places a trigger may have in it; bytes of
 #: the rolling hash.
 LENGTH, SPREAD, ROLL = 100, 50, 16
+#: Contexts of a bucket on average, and of one key in a bucket at most.
+BUCKET, HOT = 4_000, 2_000
 #: Bytes of text hashed at once (a longer text alone).
 CHUNK = 1 << 20
 #: log2 of the bits of a bitmap (16 MB).
@@ -184,30 +191,118 @@ def _contexts(docs: DataFrame, repeated) -> DataFrame:
     )
 
 
-def _windows(docs: DataFrame, marked) -> DataFrame:
+def _bodies(docs: DataFrame, marked) -> DataFrame:
+    """Bytes of the marked contexts (and of a few others)."""
     def make():
-        def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        def run(batch: pa.RecordBatch) -> dict[str, object]:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in ("w1", "w2", "id", "tie", "lo")}
+            out: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in ("key", "id", "tie", "lo")}
+            body: list[bytes] = []
             for first, raw, c in chunks(batch.column(2).to_pylist()):
-                text, _, lo, hi = c.phrases()
+                text, t, lo, hi = c.phrases()
                 begin = c.ends[text] - np.fromiter(map(len, raw), np.int64, len(raw))[text]
                 i, tie = ids[first + text], ties[first + text]
                 keep = _in(marked.value, _id(i, tie, lo - begin))
-                n = (hi - lo + 1)[keep]
-                if not len(n):
-                    continue
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[keep], n)
-                out["w1"].append(c.hash(start, start + LENGTH, 0).view(np.int64))
-                out["w2"].append(c.hash(start, start + LENGTH, 1).view(np.int64))
-                out["id"].append(np.repeat(i[keep], n))
-                out["tie"].append(np.repeat(tie[keep], n))
-                out["lo"].append(start - np.repeat(begin[keep], n))
-            return {k: np.concatenate(v) for k, v in out.items()}
+                out["key"].append(c.hash(t[keep], t[keep] + LENGTH - SPREAD + 1, 0).view(np.int64))
+                out["id"].append(i[keep])
+                out["tie"].append(tie[keep])
+                out["lo"].append((lo - begin)[keep])
+                for k, s, e in zip(text[keep].tolist(), (lo - begin)[keep].tolist(), (hi - begin)[keep].tolist()):
+                    body.append(raw[k][s : e + LENGTH])
+            return {k: np.concatenate(v) for k, v in out.items()} | {"body": body}
 
         return run
 
-    return map_batches(docs, make, "w1 bigint, w2 bigint, id bigint, tie bigint, lo bigint")
+    return map_batches(docs, make, "key bigint, id bigint, tie bigint, lo bigint, body binary")
+
+
+def suffix_array(dictionary: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of the entries in the order of their first ``depth``
+    bytes, by prefix doubling: (order, rank by position, entry starts);
+    positions count through the joined entries, and suffixes with equal
+    first bytes have equal ranks."""
+    sizes = np.fromiter(map(len, dictionary), np.int64, len(dictionary))
+    starts = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    left = np.repeat(starts + sizes, sizes) - np.arange(n)  # bytes up to the entry's end
+    rank = np.frombuffer(b"".join(dictionary), np.uint8).astype(np.int64) + 1
+    known = 1
+    while known < depth:
+        step = min(known, depth - known)
+        then = np.zeros(n, np.int64)
+        inside = np.flatnonzero(left > step)
+        then[inside] = rank[inside + step]
+        rank = np.unique(rank * (n + 257) + then, return_inverse=True)[1] + 1
+        known += step
+    return np.argsort(rank, kind="stable"), rank, starts
+
+
+def repeated_windows(bodies: list[bytes], places: np.ndarray) -> np.ndarray:
+    """Places of windows that also start at a smaller place.
+
+    ``places`` holds (id, tie, start) of every body.  The dictionary is
+    the distinct bodies; the parse lists its entries' places.
+    """
+    order = np.lexsort(places.T[::-1])
+    dictionary = sorted(set(bodies))
+    number = {b: k for k, b in enumerate(dictionary)}
+    _, rank, starts = suffix_array(dictionary)
+    entry = np.fromiter((number[b] for b in bodies), np.int64, len(bodies))[order]
+    n = np.fromiter(map(len, dictionary), np.int64, len(dictionary))[entry] - LENGTH + 1
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    group = rank[np.repeat(starts[entry], n) + offset]
+    where = places[order][np.repeat(np.arange(len(order)), n)]
+    where = where + np.stack([np.zeros_like(offset), np.zeros_like(offset), offset], axis=1)
+    by = np.lexsort((where[:, 2], where[:, 1], where[:, 0], group))
+    same = group[by][1:] == group[by][:-1]
+    later = (where[by][1:] != where[by][:-1]).any(axis=1)
+    # a place that equals its predecessor's repeats only if that one does
+    out = np.zeros(len(by), bool)
+    out[1:] = same & later
+    run = np.flatnonzero(same & ~later) + 1
+    for k in run.tolist():
+        out[k] = out[k - 1]
+    return where[by][out]
+
+
+def _by_suffixes(bodies: DataFrame, buckets: int) -> DataFrame:
+    gathered = bodies.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).agg(
+        F.collect_list("body").alias("body"), F.collect_list("id").alias("id"), F.collect_list("tie").alias("tie"),
+        F.collect_list("lo").alias("lo"),
+    )
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            out = [np.zeros((0, 3), np.int64)]
+            for row in batch.to_pylist():
+                places = np.array([row["id"], row["tie"], row["lo"]], np.int64).T
+                out.append(repeated_windows(row["body"], places))
+            i, tie, lo = np.concatenate(out).T
+            return {"id": i, "tie": tie, "lo": lo}
+
+        return run
+
+    return map_batches(gathered.select("body", "id", "tie", "lo"), make, "id bigint, tie bigint, lo bigint")
+
+
+def _windows(bodies: DataFrame) -> DataFrame:
+    """Windows of bodies by the hash of their bytes."""
+    def make():
+        def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            raw = batch.column("body").to_pylist()
+            c = Chunk(raw)
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) - LENGTH + 1
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(c.ends - n - LENGTH + 1, n) + offset
+            return {
+                "w1": c.hash(start, start + LENGTH, 0).view(np.int64), "w2": c.hash(start, start + LENGTH, 1).view(np.int64),
+                "id": np.repeat(batch.column("id").to_numpy(), n), "tie": np.repeat(batch.column("tie").to_numpy(), n),
+                "lo": np.repeat(batch.column("lo").to_numpy(), n) + offset,
+            }
+
+        return run
+
+    return map_batches(bodies.select("id", "tie", "lo", "body"), make, "w1 bigint, w2 bigint, id bigint, tie bigint, lo bigint")
 
 
 def _later(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
@@ -250,17 +345,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = contexts.groupBy("c1", "c2").agg(
         F.min(F.struct("id", "tie", "lo", "mark")).alias("first"), F.min("key").alias("key")
     )
-    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = checkpoint(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     edges = classes.join(several, "key", "left_semi").select(F.col("first.mark").alias("mark"))
     marked = _bitmap(edges, "mark")
     whole = _later(contexts, ["c1", "c2"], classes.drop("key")).select(
         "id", "tie", "lo", (F.col("hi") + LENGTH).alias("to")
     )
-    windows = checkpoint(_windows(unique, marked))
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n"))
-    single = _later(windows, ["w1", "w2"], first.where("n > 1").drop("n")).select(
-        "id", "tie", "lo", (F.col("lo") + LENGTH).alias("to")
-    )
+    bodies = checkpoint(_bodies(unique, marked))
+    total, most = several.agg(F.sum("n"), F.max("n")).first()
+    hot = several.where(F.col("n") > HOT).select("key")
+    split = (most or 0) > HOT
+    cold = bodies.join(hot, "key", "left_anti") if split else bodies
+    single = _by_suffixes(cold, 1 + (total or 0) // BUCKET)
+    if split:
+        windows = checkpoint(_windows(bodies.join(hot, "key", "left_semi")))
+        first = windows.groupBy("w1", "w2").agg(
+            F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")
+        )
+        single = single.unionByName(
+            _later(windows, ["w1", "w2"], first.where("n > 1").drop("n")).select("id", "tie", "lo")
+        )
+    single = single.select("id", "tie", "lo", (F.col("lo") + LENGTH).alias("to"))
     covers = checkpoint(
         whole.unionByName(single).groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
         .unionByName(copies.select("id", "tie", F.lit(None).cast("array<struct<lo:bigint,to:bigint>>").alias("spans")))
