@@ -114,7 +114,32 @@ def without_repeats(texts):
     return out
 
 
-def test_repeats(spark):
+def test_suffix_array():
+    dictionary = [b"banana", b"bandana", b"an"]
+    order, _, starts = repeats.suffix_array(dictionary)
+    joined, ends = b"".join(dictionary), np.repeat(starts + [6, 7, 2], [6, 7, 2])
+    found = [joined[i : ends[i]] for i in order]
+    assert found == sorted(found)
+
+
+def test_windows_by_suffixes():
+    rng = random.Random(1)
+    for _ in range(100):
+        pool = [bytes(rng.choice(b"ab") for _ in range(rng.choice([100, 101, 149]))) for _ in range(4)]
+        bodies = [b if rng.random() < 0.6 else b[:100] + b"ab" * rng.randrange(15) for b in rng.choices(pool, k=rng.randrange(1, 12))]
+        places = np.array([[rng.randrange(3), 0, rng.randrange(0, 400, 50)] for _ in bodies])
+        at: dict[bytes, set] = {}
+        for b, (i, t, lo) in zip(bodies, places.tolist()):
+            for k in range(len(b) - 99):
+                at.setdefault(b[k : k + 100], set()).add((i, t, lo + k))
+        want = {p for v in at.values() for p in v if p != min(v)}
+        assert {tuple(x) for x in repeats.repeated_windows(bodies, places).tolist()} == want
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUCKET", 2 * hot)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9)))
     passage = [" ".join(word() for _ in range(n)) for n in (8, 19, 20, 40, 200)]
