@@ -46,24 +46,41 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all machines see.
 
     ``spark.checkpoint.dir`` decides; only where it is unset (tests, a
     single machine) does a folder of this process take its place.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+        at = sc._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder, a fraction
+    of a checkpoint's size for many rows."""
+    from uuid import uuid4
+
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label the connected components of an undirected graph.
 

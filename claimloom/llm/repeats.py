@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpoint, map_batches
+from claimloom.llm.common import checkpoint, map_batches, written
 
 #: Bytes of a repeated string; places a trigger may have in it; bytes of
 #: the rolling hash.
@@ -166,7 +166,7 @@ def _contexts(docs: DataFrame, repeated) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out: dict[str, list] = {k: [] for k in ("key", "c1", "c2", "id", "tie", "lo", "hi", "mark")}
+            out: dict[str, list] = {k: [] for k in ("key", "content", "id", "tie", "lo", "more")}
             for first, raw, c in chunks(batch.column(2).to_pylist()):
                 text, t, lo, hi = c.phrases()
                 key = c.hash(t, t + LENGTH - SPREAD + 1, 0)
@@ -175,19 +175,17 @@ def _contexts(docs: DataFrame, repeated) -> DataFrame:
                 begin = c.ends[text] - np.fromiter(map(len, raw), np.int64, len(raw))[text]
                 i, tie = ids[first + text], ties[first + text]
                 out["key"].append(key[keep].view(np.int64))
-                out["c1"].append(c.hash(lo, hi + LENGTH, 0).view(np.int64))
-                out["c2"].append(c.hash(lo, hi + LENGTH, 1).view(np.int64))
+                out["content"].append(c.hash(lo, hi + LENGTH, 1).view(np.int64))
                 out["id"].append(i)
                 out["tie"].append(tie)
                 out["lo"].append(lo - begin)
-                out["hi"].append(hi - begin)
-                out["mark"].append(_id(i, tie, lo - begin).view(np.int64))
+                out["more"].append(hi - lo)
             return {k: np.concatenate(v) for k, v in out.items()}
 
         return run
 
     return map_batches(
-        docs, make, "key bigint, c1 bigint, c2 bigint, id bigint, tie bigint, lo bigint, hi bigint, mark bigint"
+        docs, make, "key bigint, content bigint, id bigint, tie bigint, lo bigint, more bigint"
     )
 
 
@@ -341,24 +339,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         maybe.where("hit").select("id", "tie", "text").join(copies.select("id", "tie"), ["id", "tie"], "left_anti")
     )
     repeated = _bitmap(_key_counts(unique).where("n > 1"), "key")
-    contexts = checkpoint(_contexts(unique, repeated))
-    classes = contexts.groupBy("c1", "c2").agg(
-        F.min(F.struct("id", "tie", "lo", "mark")).alias("first"), F.min("key").alias("key")
+    # key and content together are a context's hash of 128 bits
+    contexts = written(_contexts(unique, repeated))
+    classes = contexts.groupBy("key", "content").agg(F.min(F.struct("id", "tie", "lo")).alias("first"))
+    several = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # by a bitmap, not a join: a false hit only adds a context that is there
+    edges = _marked(classes, _bitmap(several, "key"), "key", hashed=True).where("hit").select(
+        _python_id("first.id", "first.tie", "first.lo").alias("mark")
     )
-    several = checkpoint(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    edges = classes.join(several, "key", "left_semi").select(F.col("first.mark").alias("mark"))
     marked = _bitmap(edges, "mark")
-    whole = _later(contexts, ["c1", "c2"], classes.drop("key")).select(
-        "id", "tie", "lo", (F.col("hi") + LENGTH).alias("to")
+    whole = _later(contexts, ["key", "content"], classes).select(
+        "id", "tie", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("to")
     )
-    bodies = checkpoint(_bodies(unique, marked))
+    bodies = written(_bodies(unique, marked))
     total, most = several.agg(F.sum("n"), F.max("n")).first()
     hot = several.where(F.col("n") > HOT).select("key")
     split = (most or 0) > HOT
     cold = bodies.join(hot, "key", "left_anti") if split else bodies
     single = _by_suffixes(cold, 1 + (total or 0) // BUCKET)
     if split:
-        windows = checkpoint(_windows(bodies.join(hot, "key", "left_semi")))
+        windows = written(_windows(bodies.join(hot, "key", "left_semi")))
         first = windows.groupBy("w1", "w2").agg(
             F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")
         )
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _later(windows, ["w1", "w2"], first.where("n > 1").drop("n")).select("id", "tie", "lo")
         )
     single = single.select("id", "tie", "lo", (F.col("lo") + LENGTH).alias("to"))
-    covers = checkpoint(
+    covers = written(
         whole.unionByName(single).groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
         .unionByName(copies.select("id", "tie", F.lit(None).cast("array<struct<lo:bigint,to:bigint>>").alias("spans")))
         .withColumn("mark", _python_id("id", "tie"))
@@ -413,21 +413,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _python_id(*cols: str):
-    """The hash of ``_id`` as a column."""
-
-    def run(*parts: pa.Array) -> pa.Array:
-        return pa.array(_id(*(p.to_numpy() for p in parts)).view(np.int64))
+    """The hash of ``_id`` as a column, of two or three longs."""
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return run(a, b)
+        return pa.array(_id(a.to_numpy(), b.to_numpy()).view(np.int64))
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(_id(a.to_numpy(), b.to_numpy(), c.to_numpy()).view(np.int64))
 
-    return F.arrow_udf(two, "bigint")(*cols)
+    return F.arrow_udf(two if len(cols) == 2 else three, "bigint")(*cols)
 
 
-def _marked(rows: DataFrame, bitmap) -> DataFrame:
-    """Rows ``id, tie, ...`` with ``hit``: whether the bitmap has them."""
+def _marked(rows: DataFrame, bitmap, *cols: str, hashed: bool = False) -> DataFrame:
+    """Rows with ``hit``: whether the bitmap has the hash of ``id, tie``
+    or, where ``hashed``, of a column that is a hash itself."""
 
-    def hit(a: pa.Array, b: pa.Array) -> pa.Array:
+    def pair(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(_in(bitmap.value, _id(a.to_numpy(), b.to_numpy())), pa.bool_())
 
-    return rows.withColumn("hit", F.arrow_udf(hit, "boolean")("id", "tie"))
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array(_in(bitmap.value, a.to_numpy().view(np.uint64)), pa.bool_())
+
+    return rows.withColumn("hit", F.arrow_udf(one if hashed else pair, "boolean")(*(cols or ("id", "tie"))))
