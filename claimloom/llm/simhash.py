@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpoint, components, map_batches
+from claimloom.llm.common import checkpoint, components, map_batches, written
 
 #: Words of a shingle, hash seed and bits that may differ, by contract.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns as they are: the row with
     the smallest id (null ids last); of rows that share it, any one."""
-    base = checkpoint(
+    base = written(
         docs.select(
             F.struct("*").alias("doc"), F.col(id_col).alias("id"), fingerprint_column(text_col).alias("print"),
             F.monotonically_increasing_id().alias("row"),

@@ -93,12 +93,11 @@ def train(texts: list[str | None], labels: list[int], weights: list[float] | Non
     bias = float(np.log(prior / (1 - prior)))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), bias)
-    texts_words = list(map(words_of, texts))
     rows_of: dict[str, np.ndarray] = {}
     bags, texts_with, total = [], np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)
-    for words in texts_words:
+    for text in texts:
         parts = []
-        for w in words:
+        for w in words_of(text):
             r = rows_of.get(w)
             if r is None:
                 r = rows_of[w] = np.array(word_rows(w), np.int32)
