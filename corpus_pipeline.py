@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, toxicity
-from claimloom.llm.common import bounded_batches, checkpoint
+from claimloom.llm.common import bounded_batches, written
 from claimloom.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -77,10 +77,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between two of them the lineage is
-    cut in the shared checkpoint folder."""
+    cut by a table in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = checkpoint(docs)
+            docs = written(docs)
     return docs
