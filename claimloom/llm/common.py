@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to a Python worker at once.  Long texts
 #: make small batches, so that a worker's memory is bounded.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -45,7 +45,7 @@ LENGTH, SPREAD, ROLL = 100, 50, 16
 #: Contexts of a bucket on average, and of one key in a bucket at most.
 BUCKET, HOT = 4_000, 2_000
 #: Bytes of text hashed at once (a longer text alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: log2 of the bits of a bitmap (16 MB).
 BITMAP = 27
 
@@ -76,19 +76,26 @@ class Chunk:
     """Some texts in one buffer, with hashes of any substring."""
 
     def __init__(self, texts: list[bytes]):
-        b = np.frombuffer(b"".join(texts), np.uint8)
-        self.n = n = len(b)
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.n = n = len(self.bytes)
         self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        self.bits = max(20, int(n + 1).bit_length())
-        self.sums = []
-        for base in BASES:
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(base, self.bits)[:n], out=s[1:])
-            self.sums.append(s)
+        self.bits = max(18, int(n + 1).bit_length())
+        self._sums: dict[int, np.ndarray] = {}
+
+    def sums(self, which: int) -> np.ndarray:
+        """Prefix sums of the polynomial hash, made when first asked for."""
+        if which not in self._sums:
+            s = np.zeros(self.n + 1, np.uint64)
+            values = self.bytes.astype(np.uint64)
+            values += np.uint64(1)
+            values *= _powers(BASES[which], self.bits)[: self.n]
+            np.cumsum(values, out=s[1:])
+            self._sums[which] = s
+        return self._sums[which]
 
     def hash(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
         inverse = _powers(pow(BASES[which], -1, 1 << 64), self.bits)
-        s = self.sums[which]
+        s = self.sums(which)
         return _mix((s[end] - s[start]) * inverse[start] ^ (end - start).astype(np.uint64))
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,24 +104,30 @@ class Chunk:
         none = np.zeros(0, np.int64)
         if m <= 0:
             return none, none, none, none
-        at = np.arange(self.n - ROLL + 1)
-        low = self.hash(at, at + ROLL, 0) & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+        s = self.sums(0)
+        low = s[ROLL:] - s[:-ROLL]
+        low *= _powers(pow(BASES[0], -1, 1 << 64), self.bits)[: len(low)]
+        low ^= low >> np.uint64(32)
+        low *= np.uint64(0xD6E8FEB86659FD93)
+        low &= np.uint64(0xFFFFFFFF00000000)  # the hash above, the place below: leftmost on ties
+        low |= np.arange(len(low), dtype=np.uint64)
         span = 1
         while span * 2 <= SPREAD:  # smallest of 2, 4, ... places
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         rest = SPREAD - span
         low = np.minimum(low[: len(low) - rest], low[rest:])[:m]
-        starts = np.arange(m)
-        text = np.searchsorted(self.ends, starts, side="right")
-        ok = starts + LENGTH <= self.ends[text]
-        starts, text = starts[ok], text[ok]
-        trigger = (low[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        low &= np.uint64(0xFFFFFFFF)
+        inside = np.ones(m, bool)
+        for e in self.ends.tolist():  # windows across a border of texts
+            inside[max(0, e - LENGTH + 1) : e] = False
+        starts = np.flatnonzero(inside)
         if not len(starts):
             return none, none, none, none
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(trigger) != 0) | (np.diff(text) != 0)]))
+        trigger = low[starts].view(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(trigger) != 0) | (np.diff(starts) != 1)]))
         last = np.concatenate([new[1:], [len(starts)]]) - 1
-        return text[new], trigger[new], starts[new], starts[last]
+        return np.searchsorted(self.ends, starts[new], side="right"), trigger[new], starts[new], starts[last]
 
 
 def chunks(texts: list[str | None]):
