@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Independent publishers that make a claim supported.
 INDEPENDENT = 2
+#: Passages under three words that may be broadcast.
+FEW = 1_000
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -16,8 +18,8 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", te
     Not a nested loop: an occurrence contains the passage's longest
     interior word (the first and last may be cut), so the two sides are
     joined on it and then verified.  Passages of fewer than three words
-    have none; they are compared in full, behind a filter that leaves
-    that branch empty when there are none.
+    have none; up to ``FEW`` of them are broadcast and compared in full,
+    more raise a ValueError, since that would be a cross join.
     """
     p = passages.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage"))
     inner = F.slice(F.split("passage", " "), 2, F.greatest(F.lit(0), F.size(F.split("passage", " ")) - 2))
@@ -32,6 +34,11 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", te
         .where(F.contains("body", "passage")).select("item_id", "doc_id")
     )
     short = p.where("word is null and passage <> ''")
+    n = short.limit(FEW + 1).count()
+    if not n:
+        return found
+    if n > FEW:
+        raise ValueError(f"more than {FEW} passages have fewer than three words")
     few = d.join(F.broadcast(short), F.contains("body", "passage")).select("item_id", "doc_id")
     return found.unionByName(few)
 

@@ -91,12 +91,12 @@ GRAPH_ALL = GRAPH.rstrip() + ",\n" + ALL_GRAPH
 
 # --- requests ---------------------------------------------------------------
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as requests; their first words as profiles."""
+    """User turns as requests; their words as profiles."""
     turns = table(spark, d, "conversations").where("role = 'user'")
     return turns.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("result_id"),
         F.col("turn").alias("pos"), F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("question"),
-        F.slice(F.split("text", " "), 1, 8).alias("profiles"),
+        F.split("text", " ").alias("profiles"),
         (F.col("turn") % 4).alias("max_knowledge_results"), (F.col("conv_id") % 3).alias("max_web_results"),
         F.lit(5).cast("bigint").alias("max_web_pages"),
         F.when(F.col("conv_id") % 2 == 0, F.lit("de")).otherwise(F.lit("en")).alias("language"),
@@ -104,7 +104,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 REQ = """WITH requests AS (SELECT conv_id || '-' || turn AS result_id, turn AS pos, ' ' || chr(160) || text || chr(10) AS question,
-  string_split(text, ' ')[1:8] AS profiles, turn % 4 AS max_knowledge_results, conv_id % 3 AS max_web_results,
+  string_split(text, ' ') AS profiles, turn % 4 AS max_knowledge_results, conv_id % 3 AS max_web_results,
   CAST(5 AS BIGINT) AS max_web_pages, CASE WHEN conv_id % 2 = 0 THEN 'de' ELSE 'en' END AS language
   FROM conversations WHERE role = 'user')
 """
@@ -373,14 +373,16 @@ def retrieve_topk(spark, d):
 
 
 @query("retrieve_embedding_topk", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+q AS (SELECT v.* FROM v JOIN (SELECT label, min(vec_id) AS vec_id FROM v GROUP BY label) USING (label, vec_id)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) /
   (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(c.e, lambda x: x * x)))), 9) AS score
-  FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  FROM v c JOIN q ON q.label = c.label AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def retrieve_embedding_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieve.nearest(v.where("vec_id % 50 = 0"), v, 5).withColumn("score", F.round("score", 6))
+    first = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))  # each cell's query: one row meets it once
+    return retrieve.nearest(v.join(first, ["label", "vec_id"]), v, 5).withColumn("score", F.round("score", 6))
 
 
 PAGE_TEXT = f"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'),

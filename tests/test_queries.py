@@ -26,6 +26,14 @@ def test_query(spark, con, name):
     assert rows(mine) == rows(theirs)
 
 
+def test_passages_of_few_words(spark):
+    from claimloom.operators.claims import passages_in
+
+    docs = spark.createDataFrame([(1, "a bc d ef g"), (2, None), (3, "bc d")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "bc d"), (2, "c d e"), (3, ""), (4, None), (5, "bc d ef")], "item_id long, text string")
+    assert sorted(map(tuple, passages_in(docs, items).collect())) == [(1, 1), (1, 3), (2, 1), (5, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
