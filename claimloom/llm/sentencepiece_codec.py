@@ -25,13 +25,14 @@ from heapq import heapify, heappop, heappush
 from itertools import islice
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words and segments a worker keeps, each; beyond it the older half goes.
-TABLE_SIZE = 600_000
+TABLE_SIZE = 400_000
 #: Longer segments are encoded each time instead of being kept.
 KEPT_LENGTH = 48
 #: Rank of a pair that forms no piece.
@@ -259,13 +260,13 @@ def encode_column(text: Column | str, model_file: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         t = table(model_file)
-        c = t.codec
-        out = []
-        for x in texts.to_pylist():
-            body = array("I", t.pack(x))
-            out.append([c.bos, *body, c.eos])
+        begin, end = array("I", [t.codec.bos]).tobytes(), array("I", [t.codec.eos]).tobytes()
+        packed = [begin + t.pack(x) + end for x in texts.to_pylist()]
         t.settle()
-        return pa.array(out, pa.list_(pa.int32()))
+        # straight from the bytes: lists of Python integers take many times their memory
+        offsets = np.cumsum([0, *map(len, packed)]) // 4
+        values = np.frombuffer(b"".join(packed), np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
     return ids(text)
 
