@@ -37,7 +37,7 @@ RARE, FREQUENT, SCALE = 4, 1e-5, 300.0
 #: Blank words in every bag.
 BLANKS = 30
 #: Words a worker keeps; beyond it the older half goes.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 150_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
