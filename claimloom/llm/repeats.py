@@ -43,11 +43,11 @@ from claimloom.llm.common import checkpoint, map_batches, written
 #: the rolling hash.
 LENGTH, SPREAD, ROLL = 100, 50, 16
 #: Contexts of a bucket on average, and of one key in a bucket at most.
-BUCKET, HOT = 4_000, 2_000
+BUCKET, HOT = 2_000, 2_000
 #: Bytes of text hashed at once (a longer text alone).
 CHUNK = 1 << 18
-#: log2 of the bits of a bitmap (16 MB).
-BITMAP = 27
+#: log2 of the bits of a bitmap (8 MB).
+BITMAP = 26
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
