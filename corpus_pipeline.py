@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, toxicity
+from claimloom.llm import decontaminate, near_copies, secrets, sentencepiece_codec, toxicity
 from claimloom.llm.common import bounded_batches, written
 from claimloom.llm.queries import piece_model
 
@@ -31,9 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id."""
+    """One document of each group of near copies (five-word shingles,
+    Jaccard similarity 0.8), that of the smallest id."""
     bounded_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
