@@ -7,15 +7,15 @@ once, sign by sign: where the trie has no edge, the popped pieces are
 counted and the failure link followed.  Pieces are never built.
 
 Word-initial pieces carry a space mark in front, others continue a word.
-A word that the vocabulary can't cover counts as one unknown token, and
-so does a word above ``LONGEST`` signs; words are what lies between
-white space.
+A word that the vocabulary can't cover counts as one unknown token; words
+are what lies between white space, of any length.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import islice
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from claimloom.llm.common import map_batches
 
 MARK = "▁"
-#: Signs of a word that is still looked up; longer words are unknown.
-LONGEST = 200
+#: Signs of a word that is still counted: there is no limit.
+LONGEST = inf
+#: Signs of a word that a worker keeps; longer ones are counted each time.
+KEPT = 200
 #: Words a worker keeps; beyond it the older half goes.
 TABLE_SIZE = 500_000
 #: State after a word that can't be covered.
@@ -68,8 +70,6 @@ class Automaton:
 
     def count(self, word: str) -> int:
         """Number of pieces of a word, 0 if it can't be covered."""
-        if len(word) > LONGEST:
-            return 0
         edges, fail, popped = self.edges, self.fail, self.popped
         n, at = 0, 0
         for c in MARK + word:
@@ -98,7 +98,7 @@ class _Counts(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.automaton.count(word)
-        if len(word) <= LONGEST:
+        if len(word) <= KEPT:
             self[word] = n
         return n
 
