@@ -36,8 +36,9 @@ EPOCHS, BATCH, RATE, DECAY = 20, 32, 0.5, 1e-4
 RARE, FREQUENT, SCALE = 4, 1e-5, 300.0
 #: Blank words in every bag.
 BLANKS = 30
-#: Words a worker keeps; beyond it the older half goes.
-TABLE_SIZE = 150_000
+#: Words a worker keeps; beyond it the older half goes.  Words above
+#: KEPT letters are not kept but weighed each time.
+TABLE_SIZE, KEPT = 150_000, 64
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -48,8 +49,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_rows(word: str) -> list[int]:
-    """Table rows of a word: itself and its n-grams."""
-    w = f"<{word[:64]}>".encode("utf-32-le")
+    """Table rows of a word: itself and its n-grams, all of them."""
+    w = f"<{word}>".encode("utf-32-le")
     n = len(w) // 4
     out = {crc32(w) % BUCKETS}
     for k in range(SHORTEST, min(LONGEST, n) + 1):
@@ -71,7 +72,9 @@ class Model:
     def word(self, word: str) -> float:
         x = self.table.get(word)
         if x is None:
-            x = self.table[word] = float(self.share[word_rows(word)].mean())
+            x = float(self.share[word_rows(word)].mean())
+            if len(word) <= KEPT:
+                self.table[word] = x
         return x
 
     def score(self, text: str | None) -> float:
