@@ -1,22 +1,28 @@
 """Secret scans: fixed patterns and a battery of randomness tests.
 
 Fixed kinds are assignments, access keys and hexadecimal runs.  Beside
-them every token of letters and digits is weighed: its encoding is
+them every token of twelve signs and more is weighed: its encoding is
 inferred from its alphabet; chi-squared uniformity over the alphabet, a
 runs test about the alphabet's middle and the lag-one serial correlation
 give p-values that the token is random, combined by Fisher's method; and
 the likelihood ratio of "uniform over the alphabet" against "written by
 a person" (who seldom changes between letters and digits) bounds its
 p-value under the latter (Markov's inequality), which falls with length.
-Benjamini-Hochberg over the tokens of all documents turns these into a
-threshold with a bounded share of false discoveries: one pass counts
-p-values in a histogram of fixed size, the next one decides.
+In tokens without digits a person's letters follow each other as in the
+documents, whose pairs of letters are counted first: only so do words and
+random letters differ.
+Benjamini-Hochberg over the tokens of all documents turns these into
+thresholds with a bounded share of false discoveries, one for each class
+of length and letters, so that the many ordinary words do not raise that
+of keys with digits: one pass counts p-values in a histogram of fixed
+size, the next one decides.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -36,10 +42,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+DIGIT = re.compile(r"[0-9]")
+#: Signs from which a token counts as long.
+LONG = 16
 ALPHABETS = (
     ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("lower26", "abcdefghijklmnopqrstuvwxyz"), ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
@@ -96,6 +106,26 @@ def battery(token: str, alphabet: str) -> float:
     return math.exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2)  # chi-squared, 6 degrees
 
 
+#: Log of the chance of a letter after another, a to z.
+Letters = tuple[tuple[float, ...], ...]
+
+
+def letter_surprise(token: str, alphabet: str, letters: Letters) -> float:
+    """As ``surprise``, letters after letters by their chance."""
+    size = {1: 26, 2: 26, 3: 4}
+    kind = [1 if c.islower() else 2 if c.isupper() else 3 for c in token]
+    bits = math.log2(size[kind[0]] * 3 / len(alphabet))
+    low = token.lower()
+    for i in range(1, len(token)):
+        x, y = kind[i - 1], kind[i]
+        bits -= math.log2(((1 - CHANGE) if x == y else CHANGE / 2) * len(alphabet))
+        if x == 3 or y == 3:
+            bits += math.log2(size[y])
+        else:
+            bits -= letters[ord(low[i - 1]) - 97][ord(low[i]) - 97]
+    return bits
+
+
 def surprise(token: str, alphabet: str) -> float:
     """Bits of the likelihood ratio, random against written."""
     size = {0: 10, 1: 26, 2: 26, 3: 4}
@@ -107,8 +137,13 @@ def surprise(token: str, alphabet: str) -> float:
     return bits
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, float, float]]:
-    """Tokens outside the base spans: span, bits, battery's p-value."""
+def stratum(token: str) -> int:
+    """Class of a token: with digits or not, long or not."""
+    return 2 * bool(DIGIT.search(token)) + (len(token) >= LONG)
+
+
+def candidates(text: str, base: list[tuple[int, int, str]], letters: Letters) -> list[tuple[int, int, str, str, float]]:
+    """Tokens outside the base spans: span, token, alphabet, bits."""
     out = []
     for m in TOKEN.finditer(text):
         s, e = m.span()
@@ -116,7 +151,8 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             continue
         token = m[0].rstrip("=")
         alphabet = next(a for _, a in ALPHABETS if set(token) <= set(a))
-        out.append((s, e, surprise(token, alphabet), battery(token, alphabet)))
+        bits = surprise(token, alphabet) if DIGIT.search(token) else letter_surprise(token, alphabet, letters)
+        out.append((s, e, token, alphabet, bits))
     return out
 
 
@@ -131,30 +167,79 @@ def threshold(bins: dict[int, int], rate: float = FALSE_DISCOVERY) -> int:
     return best
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> int:
-    """Threshold in bits from the tokens of all documents."""
+def pair_counts(text: str) -> np.ndarray:
+    """Counts of the pairs of letters, 26 x 26, case left alone."""
+    x = np.frombuffer(text.lower().encode("ascii", "replace"), np.uint8).astype(np.int64) - 97
+    x = np.where((x < 0) | (x > 25), 26, x)
+    return np.bincount(x[:-1] * 27 + x[1:], minlength=27 * 27).reshape(27, 27)[:26, :26]
+
+
+def letter_chances(counts: np.ndarray) -> Letters:
+    """Logs of chances from counts, one added to each."""
+    c = counts + 1.0
+    return tuple(map(tuple, np.log2(c / c.sum(1, keepdims=True)).tolist()))
+
+
+def fit_letters(docs: DataFrame, text_col: str = "text") -> Letters:
+    """Chances of letters after letters from all documents."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict[str, list]:
+            n = sum((pair_counts(t) for t in batch.column(0).to_pylist() if t), np.zeros((26, 26), np.int64)).ravel()
+            return {"pair": np.flatnonzero(n), "n": n[n > 0]}
+
+        return run
+
+    counts = np.zeros(26 * 26)
+    rows = map_batches(docs.select(text_col), make, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in rows.collect():  # at most 26 x 26 rows
+        counts[r.pair] = r.n
+    return letter_chances(counts.reshape(26, 26))
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Thresholds in bits by stratum, and the chances of letters."""
+
+    least: tuple[int, ...]
+    letters: Letters
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
+    """Thresholds, by stratum, from the tokens of all documents."""
+    letters = fit_letters(docs, text_col)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, list]:
-            n = np.zeros(BITS + 1, np.int64)
+            n = np.zeros(4 * (BITS + 1), np.int64)
             for t in batch.column(0).to_pylist():
                 if t:
-                    for _, _, bits, _ in candidates(t, base_spans(t)):
-                        n[min(BITS, max(0, int(bits)))] += 1
+                    for _, _, token, _, bits in candidates(t, base_spans(t), letters):
+                        n[stratum(token) * (BITS + 1) + min(BITS, max(0, int(bits)))] += 1
             return {"bin": np.flatnonzero(n), "n": n[n > 0]}
 
         return run
 
     rows = map_batches(docs.select(text_col), make, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
-    return threshold({r.bin: r.n for r in rows.collect()})  # at most BITS + 1 rows
+    bins: list[dict[int, int]] = [{}, {}, {}, {}]
+    for r in rows.collect():  # at most 4 (BITS + 1) rows
+        bins[r.bin // (BITS + 1)][r.bin % (BITS + 1)] = r.n
+    return Fitted(tuple(map(threshold, bins)), letters)
 
 
-def find(text: str | None, least: int) -> list[tuple[int, int, str]]:
-    """All spans of a text by start, then kind."""
+def find(text: str | None, fitted: Fitted | int) -> list[tuple[int, int, str]]:
+    """All spans of a text by start, then kind; a number is a threshold
+    of all strata, with all letters alike."""
     if not text:
         return []
+    if isinstance(fitted, int):
+        fitted = Fitted((fitted,) * 4, letter_chances(np.zeros((26, 26))))
+    by, letters = fitted.least, fitted.letters
     base = base_spans(text)
-    more = [(s, e, "random") for s, e, bits, p in candidates(text, base) if int(bits) >= least and p >= REJECT]
+    more = [
+        (s, e, "random") for s, e, token, alphabet, bits in candidates(text, base, letters)
+        if int(bits) >= by[stratum(token)] and battery(token, alphabet) >= REJECT
+    ]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -165,12 +250,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Whole texts; null and empty texts have no spans; repeated rows give a
     row each; spans of different kinds may overlap.
     """
-    least = fit(docs, text_col)
+    fitted = fit(docs, text_col)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, list]:
-            found = [find(t, least) for t in batch.column(1).to_pylist()]
+            found = [find(t, fitted) for t in batch.column(1).to_pylist()]
             base = [[x for x in f if x[2] != "random"] for f in found]
             out = {id_col: batch.column(0), "spans": list(map(join_spans, found))}
             for k in KINDS:
@@ -186,14 +271,14 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def masked_column(text: Column | str, least: int, mask: str = "[secret]") -> Column:
+def masked_column(text: Column | str, fitted: Fitted | int, mask: str = "[secret]") -> Column:
     """The text with every found span replaced (null: null)."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            spans = find(t, least)
+            spans = find(t, fitted)
             if spans:
                 parts, at = [], 0
                 for s, e, _ in spans:
