@@ -20,6 +20,7 @@ import codecs
 import hashlib
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -31,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and segments a worker keeps, each; beyond it the older half goes.
-TABLE_SIZE = 400_000
+#: Words and segments a task keeps, each (some 200 bytes an entry); beyond
+#: it the older half goes.
+TABLE_SIZE = 200_000
 #: Longer segments are encoded each time instead of being kept.
 KEPT_LENGTH = 48
 #: Rank of a pair that forms no piece.
@@ -249,34 +251,67 @@ class Table(dict):
 
 
 @lru_cache(maxsize=2)
+def codec(model_file: str) -> Codec:
+    """This worker's codec for a model."""
+    return Codec(model_file)
+
+
 def table(model_file: str) -> Table:
-    """This worker's table for a model."""
-    return Table(Codec(model_file))
+    """A new table over the worker's codec: a task's own, gone with it."""
+    return Table(codec(model_file))
+
+
+def _pack(t: Table, texts: pa.Array) -> list[bytes]:
+    """Packed ids of a batch, begin and end included."""
+    begin, end = array("I", [t.codec.bos]).tobytes(), array("I", [t.codec.eos]).tobytes()
+    packed = [begin + t.pack(x) + end for x in texts.to_pylist()]
+    t.settle()
+    return packed
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Straight from the bytes: lists of Python integers take many times
+    their memory."""
+    offsets = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def encode_column(text: Column | str, model_file: str) -> Column:
     """``array<int>`` of ids for a text column (null: empty text)."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = table(model_file)
-        begin, end = array("I", [t.codec.bos]).tobytes(), array("I", [t.codec.eos]).tobytes()
-        packed = [begin + t.pack(x) + end for x in texts.to_pylist()]
-        t.settle()
-        # straight from the bytes: lists of Python integers take many times their memory
-        offsets = np.cumsum([0, *map(len, packed)]) // 4
-        values = np.frombuffer(b"".join(packed), np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        for texts in batches:
+            yield _lists(_pack(t, texts))
 
     return ids(text)
 
 
+def coded_column(text: Column | str, model_file: str) -> Column:
+    """Struct of ``ids`` and ``round_trip``: whether decoding them gives
+    the text (null: empty text)."""
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = table(model_file)
+        for texts in batches:
+            packed = _pack(t, texts)
+            same = [
+                t.codec.decode_bytes(array("I", p)).decode("utf-8", "replace_each_byte") == (x or "")
+                for p, x in zip(packed, texts.to_pylist())
+            ]
+            yield pa.StructArray.from_arrays([_lists(packed), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return coded(text)
+
+
 def decode_column(ids: Column | str, model_file: str) -> Column:
     """Text of an ``array<int>`` column (null: null)."""
 
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        c = table(model_file).codec
+        c = codec(model_file)
         return pa.array([None if x is None else c.decode(x) for x in rows.to_pylist()], pa.string())
 
     return text(ids)
@@ -291,8 +326,8 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     from claimloom.llm.common import map_batches
 
     def make():
-        t = table(model_file)
-        c = t.codec
+        c = codec(model_file)
+        t = Table(c)
         begin, end = array("I", [c.bos]).tobytes(), array("I", [c.eos]).tobytes()
 
         def run(batch: pa.RecordBatch) -> dict[str, list]:

@@ -24,13 +24,14 @@ bounded.  Links then go to distributed connected components.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpoint, components, map_batches, written
+from claimloom.llm.common import Scratch, components, key_counts, map_batches, salted_join, written
 
 #: Words of a shingle, hash seed and bits that may differ, by contract.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -85,32 +86,34 @@ def fingerprint_column(text: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2048 syndromes: error patterns of weight four or less
-    (-1 where there are fewer than six), and the syndromes of the bits."""
-    def remainder(x: int) -> int:
+def syndromes() -> list[int]:
+    """Remainder of each of the 23 bits by the generator."""
+    out = []
+    for bit in range(23):
+        x = 1 << bit
         for i in range(22, 10, -1):
             if x >> i & 1:
                 x ^= GENERATOR << (i - 11)
-        return x
+        out.append(x)
+    return out
+
 
-    one = [remainder(1 << i) for i in range(23)]
+@lru_cache(maxsize=1)
+def golay() -> tuple[np.ndarray, np.ndarray]:
+    """For each of 2048 syndromes: error patterns of weight four or less
+    (-1 where there are fewer than six), and the syndromes of the low and
+    of the high bits of words."""
+    one = syndromes()
     found: list[list[int]] = [[] for _ in range(2048)]
-    found[0].append(0)
-    for a in range(23):
-        found[one[a]].append(1 << a)
-        for b in range(a):
-            sb, eb = one[a] ^ one[b], 1 << a | 1 << b
-            found[sb].append(eb)
-            for c in range(b):
-                sc, ec = sb ^ one[c], eb | 1 << c
-                found[sc].append(ec)
-                for d in range(c):
-                    found[sc ^ one[d]].append(ec | 1 << d)
+    for weight in range(5):
+        for places in combinations(range(23), weight):
+            s = 0
+            for i in places:
+                s ^= one[i]
+            found[s].append(sum(1 << i for i in places))
     table = np.full((2048, 6), -1, np.int64)
     for s, patterns in enumerate(found):
         table[s, : len(patterns)] = patterns
-    # syndromes of all 23-bit words, from those of their low and high parts
     low = np.zeros(1 << 12, np.int64)
     high = np.zeros(1 << 11, np.int64)
     for i in range(12):
@@ -120,11 +123,16 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
     return table, np.stack([low, np.pad(high, (0, len(low) - len(high)))])
 
 
+def syndrome_of(words: np.ndarray) -> np.ndarray:
+    """Syndromes of 23-bit words."""
+    low, high = golay()[1]
+    return low[words & 0xFFF] ^ high[words >> 12]
+
+
 def segment_keys(words: np.ndarray) -> np.ndarray:
     """Codeword indices (upper 12 bits of the codeword) near each 23-bit
     word, six to a row, -1 where there are fewer."""
-    table, (low, high) = golay()
-    errors = table[low[words & 0xFFF] ^ high[words >> 12]]
+    errors = golay()[0][syndrome_of(words)]
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
 
 
@@ -214,7 +222,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     keys = _key_rows(prints)
     hot = keys.groupBy("key").count().where(F.col("count") > TILE)
     # each hot key stands for more than TILE rows: few, but not bounded, so joined
-    hot = checkpoint(hot.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
+    hot = written(hot.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     if hot.isEmpty():
         buckets = keys.groupBy("key").agg(F.collect_set("print").alias("prints"))
         return _links(buckets.where(F.size("prints") > 1).select("prints"))
@@ -232,16 +240,20 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     )
 
 
-def print_components(own: DataFrame) -> DataFrame:
-    """``print, label, component_id`` of every distinct fingerprint, from
-    rows ``id, print``: the component and the smallest id in it."""
-    distinct = checkpoint(own.groupBy("print").agg(F.min("id").alias("first")))
+def print_components(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """``print, n, label, component_id`` of every distinct fingerprint,
+    from rows ``id, print``: its number of rows, the component and the
+    smallest id in it."""
+    distinct = scratch.table(own.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     labels = components(fingerprint_links(distinct))
-    joined = distinct.join(labels, distinct["print"] == labels["node"], "left").select(
-        "print", "first", F.coalesce("label", "print").alias("label")
+    joined = scratch.table(
+        distinct.join(labels, distinct["print"] == labels["node"], "left")
+        .select("print", "first", "n", F.coalesce("label", "print").alias("label"))
+    )
+    small = joined.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return scratch.table(
+        salted_join(joined.drop("first"), small.select("label", "component_id"), "label", small, joined.count())
     )
-    small = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    return joined.join(small, "label").select("print", "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,8 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other.  Repeated rows give repeated results.  A null
     id is never a component's id, unless all of its ids are null.
     """
-    own = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("print")))
-    return own.join(print_components(own), "print").select(
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.table(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("print")))
+    found = print_components(own, scratch)
+    return salted_join(own, found.select("print", "component_id"), "print", found.select("print", "n"), own.count()).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -262,16 +276,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns as they are: the row with
     the smallest id (null ids last); of rows that share it, any one."""
-    base = written(
+    scratch = Scratch(docs.sparkSession)
+    base = scratch.table(
         docs.select(
             F.struct("*").alias("doc"), F.col(id_col).alias("id"), fingerprint_column(text_col).alias("print"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
     own = base.select("id", "print", "row")
+    # rows of a fingerprint are combined before the shuffle
+    first = own.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     best = (
-        own.join(print_components(own), "print").groupBy("label")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+        first.join(print_components(own, scratch), "print").groupBy("label").agg(F.min("best").alias("best"))
         .select(F.col("best.row").alias("row"))
     )
     return base.join(best, "row", "left_semi").select("doc.*")

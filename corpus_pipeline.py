@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontaminate, near_copies, secrets, sentencepiece_codec, toxicity
-from claimloom.llm.common import bounded_batches, written
+from claimloom.llm.common import Scratch, bounded_batches
 from claimloom.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles,
-    Jaccard similarity 0.8), that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id:
+    SimHash of five-word shingles, Golay keys, verified at a Jaccard
+    similarity of 0.8."""
     bounded_batches(spark)
     return near_copies.keep_one(docs)
 
@@ -55,12 +56,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``token_ids``, ``n_tokens`` and ``round_trip``
-    (the ids decode to the text; a null text encodes as the empty one)."""
+    (the ids decode to the text; a null text encodes as the empty one).
+    Columns of ``docs`` under these names give way to them."""
     bounded_batches(spark)
-    coded = docs.withColumn("token_ids", sentencepiece_codec.encode_column("text", piece_model()))
-    decoded = sentencepiece_codec.decode_column("token_ids", piece_model())
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("bigint")).withColumn(
-        "round_trip", decoded == F.coalesce("text", F.lit(""))
+    docs = docs.drop("token_ids", "n_tokens", "round_trip")
+    return docs.select("*", sentencepiece_codec.coded_column("text", piece_model()).alias("_coded")).select(
+        *docs.columns, F.col("_coded.ids").alias("token_ids"), F.size("_coded.ids").cast("bigint").alias("n_tokens"),
+        F.col("_coded.round_trip").alias("round_trip"),
     )
 
 
@@ -78,10 +80,15 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between two of them the lineage is
-    cut by a table in the shared checkpoint folder."""
+    cut by a table in the shared checkpoint folder, dropped once the next
+    one is written."""
+    scratch, last = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs)
+            docs = scratch.table(docs)
+            if last is not None:
+                scratch.drop(last)
+            last = docs
     return docs
