@@ -5,13 +5,14 @@ floor(64 * x).  Candidates are kept as postings, term by term: the rows
 that hold the term and their weights.  For a block of queries a dense
 score array (candidates x queries) is filled posting by posting - each
 term scatters candidate weight times query weight - and nothing is
-pruned, so scores are exact.  Each query then selects its k best of the
+pruned, so scores are exact.  Each query then selects its best of the
 block (ties to the smaller id), and a window over the blocks' selections
 merges them.
 
 Rows are dealt evenly into blocks of bounded size, whatever their ids;
 every block of queries meets every block of candidates once, and a pair
-of blocks returns at most k rows for each query.
+of blocks returns at most k + 1 rows for each query.  Weights and sums
+are held in 32 bits where they fit, else in 64, else as Python integers.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import bounded_batches
+from claimloom.llm.common import Scratch, bounded_batches
 
 #: Candidates and queries in a block.
 CANDIDATES, QUERIES = 8_192, 256
-#: Floor of 64 times a component, kept within a signed 32-bit integer.
-FACTOR, LIMIT = 64.0, 2**31 - 1
+#: A weight is the floor of this many times a component.
+FACTOR = 64.0
 
 
 def quantise(vector: list[float | None] | None) -> list[int] | None:
@@ -40,16 +41,50 @@ def quantise(vector: list[float | None] | None) -> list[int] | None:
     for x in vector:
         if x is None or not math.isfinite(x):
             return None
-        out.append(max(-LIMIT, min(LIMIT, math.floor(FACTOR * x))))
+        out.append(_floor(float(x)))
     return out
 
 
-def matrix(rows: list[list[int]]) -> np.ndarray:
-    """Rows as one matrix; shorter rows end in zeros."""
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int32)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+def _floor(x: float) -> int:
+    """floor(64 * x), exact where the product leaves the doubles, too."""
+    y = FACTOR * x
+    return math.floor(y) if math.isfinite(y) else int(x) * int(FACTOR)
+
+
+def weights(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of those rows that take part, and which these are; shorter
+    rows end in zeros."""
+    n = len(vectors)
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(vectors), 0)).astype(np.int64)
+    flat = np.asarray(pa.compute.fill_null(vectors.flatten().cast(pa.float64()), math.nan))
+    width = int(sizes.max()) if n else 0
+    dense = np.zeros((n, width))
+    inside = np.arange(width) < sizes[:, None]
+    dense[inside] = flat
+    use = np.asarray(vectors.is_valid()) & np.isfinite(dense).all(1)
+    dense = dense[use]
+    most = float(np.abs(dense).max()) if dense.size else 0.0
+    if most * FACTOR < 2.0**62:
+        out = np.floor(FACTOR * dense).astype(np.int64)
+    else:
+        out = np.array([_floor(x) for x in dense.ravel().tolist()], object).reshape(dense.shape)
+    return out, np.flatnonzero(use)
+
+
+def packed(rows: np.ndarray) -> tuple[str, int, bytes]:
+    """Kind, width and bytes of a block's weights."""
+    if rows.dtype != object:
+        small = not rows.size or (int(rows.min()) >= -(2**31) and int(rows.max()) < 2**31)
+        kind = "int32" if small else "int64"
+        return kind, rows.shape[1], rows.astype(kind).tobytes()
+    return "text", rows.shape[1], " ".join(map(str, rows.ravel().tolist())).encode()
+
+
+def unpacked(kind: str, width: int, data: bytes, n: int) -> np.ndarray:
+    """A block's weights."""
+    if kind == "text":
+        return np.array(list(map(int, data.split())), object).reshape(n, width)
+    return np.frombuffer(data, kind).reshape(n, width)
 
 
 def postings(dense: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,17 +97,12 @@ def postings(dense: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def accumulate(queries: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Dense scores, candidates by queries.
-
-    Exact: 32-bit where no sum can leave it, else 64-bit, else Python
-    integers held at the ends of a long.
-    """
+    """Dense scores, candidates by queries, in the smallest kind that no
+    sum can leave; scores outside a long are held at its ends."""
     width = queries.shape[1]
-    q = queries.T.astype(np.int64)
-    bound = sum(
-        int(np.abs(q[t]).max()) * int(np.abs(w).max())
-        for t, (at, w) in enumerate(index[:width]) if len(at)
-    )
+    q = queries.T
+    peak = lambda x: max(abs(int(x.max())), abs(int(x.min())))
+    bound = sum(peak(q[t]) * peak(w) for t, (at, w) in enumerate(index[:width]) if len(at))
     kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
     scores = np.zeros((n, len(queries)), kind)
     q = q.astype(kind)
@@ -86,56 +116,47 @@ def accumulate(queries: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]],
     return scores.astype(np.int64)
 
 
-def select(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Per query the k best candidates with another id than its own;
-    ``ids`` ascend, so the first of equal scores has the smaller id."""
-    out: tuple[list, list, list] = ([], [], [])
-    for j, own in enumerate(query_ids.tolist()):
-        s = scores[:, j]
-        free = np.flatnonzero(ids != own)
-        s = s[free]
-        if len(s) > k:
-            cut = np.partition(s, len(s) - k)[len(s) - k]
-            above = np.flatnonzero(s > cut)
-            ties = np.flatnonzero(s == cut)[: k - len(above)]
-            pick = np.concatenate([above, ties])
-        else:
-            pick = np.arange(len(s))
-        out[0].append(np.full(len(pick), own))
-        out[1].append(ids[free[pick]])
-        out[2].append(s[pick])
-    return out
+def select(scores: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best scores; the first rows of equal scores."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > cut)
+    return np.concatenate([above, np.flatnonzero(scores == cut)[: k - len(above)]])
 
 
 def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
     """Rows dealt evenly and packed: ids and weights of at most ``size``."""
-    parts = max(1, -(-count // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[list[int]] = []
-
-        def packed() -> pa.RecordBatch:
-            m = matrix(vectors[:size])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([np.array(ids[:size], np.int64).tobytes()], pa.binary()),
-                 pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())],
-                ["ids", "weights", "width"],
-            )
+        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        n = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal n
+            width = max(w.shape[1] for w in held)
+            wide = [np.pad(w, ((0, 0), (0, width - w.shape[1]))) for w in held]
+            both, all_ids = np.concatenate(wide), np.concatenate(ids)
+            ids[:], held[:] = [all_ids[size:]], [both[size:]]
+            n = len(ids[0])
+            kind, width, data = packed(both[:size])
+            columns = [pa.array([all_ids[:size].tobytes()], pa.binary()), pa.array([data], pa.binary()),
+                       pa.array([kind]), pa.array([width], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["ids", "weights", "kind", "width"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = quantise(v)
-                if i is not None and w is not None:
-                    ids.append(i)
-                    vectors.append(w)
-            while len(ids) >= size:
-                yield packed()
-                del ids[:size], vectors[:size]
-        if ids:
-            yield packed()
+            w, at = weights(b.column(1))
+            ids.append(b.column(0).to_numpy()[at])
+            held.append(w)
+            n += len(at)
+            while n >= size:
+                yield block()
+        if n:
+            yield block()
 
-    return rows.repartition(parts).mapInArrow(run, "ids binary, weights binary, width int")
+    dealt = rows.where("id is not null").repartition(max(1, -(-count // size)))
+    return dealt.mapInArrow(run, "ids binary, weights binary, kind string, width int")
 
 
 def top_k(
@@ -146,42 +167,62 @@ def top_k(
     Columns ``query_id, rank, vec_id, score``; ties go to the smaller
     id.  Rows whose id or vector is null, or whose vector holds null or
     a component that is not finite, take no part; missing components of
-    shorter vectors count as zero; components beyond the range of a
-    32-bit integer after scaling stay at its ends.  A candidate with the
-    query's own id is left out; repeated candidates count as often as
-    they occur, queries repeated under one id count once.  No queries or
-    no candidates: no rows.
+    shorter vectors count as zero; a score outside a long is held at its
+    ends.  Of the candidates with a query's own id and weights one, its
+    own row, is left out; other rows under its id count.  Repeated
+    candidates count as often as they occur, and repeated queries give a
+    result each.  No queries or no candidates: no rows.
     """
     spark = vectors.sparkSession
-    q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).dropDuplicates(["id"])
-    c = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
+    c = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
     n_queries, n = q.count(), c.count()
     # as many cells as make a few pairs of blocks each; a block of candidates lies in one
     cells = max(1, -(-n // CANDIDATES))
     bounded_batches(spark)
     left = _blocks(c, CANDIDATES, n).withColumn("cell", F.pmod(F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(cells)).cast("int"))
-    right = _blocks(q, QUERIES, n_queries).select(
-        F.col("ids").alias("qids"), F.col("weights").alias("qweights"), F.col("width").alias("qwidth"),
+    # written, so that a block's number does not depend on a retry
+    asked = Scratch(spark).table(_blocks(q, QUERIES, n_queries).withColumn("block", F.monotonically_increasing_id()))
+    right = asked.select(
+        "block", *(F.col(x).alias(f"q{x}") for x in ("ids", "weights", "kind", "width")),
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
     )
     # pairs meet in the cell; a round-robin deal evens them out again
     pairs = right.join(left, "cell").repartition(max(1, cells * -(-n_queries // QUERIES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query_id", "vec_id", "score"]
+        names = ["block", "number", "query_id", "vec_id", "score", "own"]
         for b in batches:
             for row in b.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 order = np.argsort(ids, kind="stable")
-                dense = np.frombuffer(row["weights"], np.int32).reshape(len(ids), row["width"])[order]
-                own = np.frombuffer(row["qids"], np.int64)
-                q = np.frombuffer(row["qweights"], np.int32).reshape(len(own), row["qwidth"])
-                scores = accumulate(q, postings(dense), len(ids))
-                parts = select(scores, ids[order], own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], names)
-
-    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                dense = unpacked(row["kind"], row["width"], row["weights"], len(ids))[order]
+                ids = ids[order]
+                mine = np.frombuffer(row["qids"], np.int64)
+                asked = unpacked(row["qkind"], row["qwidth"], row["qweights"], len(mine))
+                scores = accumulate(asked, postings(dense), len(ids))
+                width = min(dense.shape[1], asked.shape[1])
+                parts = []
+                for j, own in enumerate(mine.tolist()):
+                    at = select(scores[:, j], k + 1)
+                    same = ids[at] == own
+                    for i in np.flatnonzero(same).tolist():  # equal weights, too
+                        x = dense[at[i]]
+                        same[i] = bool((x[:width] == asked[j, :width]).all() and not x[width:].any() and not asked[j, width:].any())
+                    m = len(at)
+                    parts.append((np.full(m, row["block"]), np.full(m, j), np.full(m, own), ids[at], scores[at, j], same))
+                columns = [np.concatenate(p) for p in zip(*parts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p.astype(np.int64)) for p in columns[:5]] + [pa.array(columns[5].astype(bool))], names
+                )
+
+    best = pairs.mapInArrow(run, "block bigint, number bigint, query_id bigint, vec_id bigint, score bigint, own boolean")
+    # all candidates that equal the query have one score: the first of them is its own row
+    by_score = [F.col("score").desc(), F.col("own").desc(), F.col("vec_id")]
+    one = Window.partitionBy("block", "number")
+    best = best.withColumn("place", F.row_number().over(one.orderBy(*by_score))).where(F.col("place") <= k + 1)
+    best = best.withColumn("mine", F.min(F.when(F.col("own"), F.col("place"))).over(one)).where("mine is null or place <> mine")
+    w = one.orderBy(F.col("score").desc(), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
