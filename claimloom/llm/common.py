@@ -224,3 +224,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def join_spans(spans: list[tuple[int, int, str]]) -> str:
     """``kind:start:end`` in the order given, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+
+
+def free(taken: list[tuple[int, int]], spans) -> list[tuple]:
+    """Those of the spans (``start, end, ...``, by start, none empty) that
+    overlap none of the taken ones (by start); linear in both."""
+    out, k, reach = [], 0, 0
+    for span in spans:
+        s, e = span[:2]
+        while k < len(taken) and taken[k][0] < e:  # all that start before its end
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= s:
+            out.append(span)
+    return out

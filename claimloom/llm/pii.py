@@ -13,14 +13,16 @@ set, so what reaches the driver does not grow with the input.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from hashlib import sha256
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import join_spans, map_batches
+from claimloom.llm.common import free, join_spans, map_batches
 
 # Patterns of the base kinds and their order.  The
 # look-behind only keeps the search from trying a run of digits again.
@@ -91,12 +93,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Looser spans that touch no base span and no earlier looser one."""
     out: list[tuple[int, int, str]] = []
+    taken = sorted((s, e) for s, e, _ in base)
     for kind, pattern in zip(MORE, (MAIL_LIKE, PHONE_LIKE, NUMBER_LIKE)):
         if kind == "mail_like" and "at" not in text.lower():
             continue
-        for m in pattern.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e, _ in base + out):
-                out.append((*m.span(), kind))
+        found = free(taken, ((*m.span(), kind) for m in pattern.finditer(text)))
+        taken = list(merge(taken, [(s, e) for s, e, _ in found]))
+        out += found
     return out
 
 
@@ -189,12 +192,18 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return train({(r.kind, tuple(r.votes)): r.n for r in rows})
 
 
+@lru_cache(maxsize=1 << 12)
+def accepted(kind: str, pattern: tuple[int, ...], weights: bytes) -> bool:
+    """The classifier's decision: kinds and votes are few."""
+    return float(features(kind, pattern) @ np.frombuffer(weights)) >= 0
+
+
 def find(text: str | None, weights: np.ndarray) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind."""
     if not text:
         return []
-    base = base_spans(text)
-    more = [c for c in candidates(text, base) if float(features(c[2], votes(text, c)) @ weights) >= 0]
+    base, w = base_spans(text), weights.tobytes()
+    more = [c for c in candidates(text, base) if accepted(c[2], votes(text, c), w)]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -14,8 +14,11 @@ random letters differ.
 Benjamini-Hochberg over the tokens of all documents turns these into
 thresholds with a bounded share of false discoveries, one for each class
 of length and letters, so that the many ordinary words do not raise that
-of keys with digits: one pass counts p-values in a histogram of fixed
-size, the next one decides.
+of keys with digits.  The battery's p-values of the tokens found so go
+through the same procedure by classes of length (its tests gain power
+with length): those it rejects are no secrets, and of random tokens only
+a bounded share is lost.  Passes count p-values in histograms of fixed
+size, the last one decides.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import join_spans, map_batches
+from claimloom.llm.common import free, join_spans, map_batches
 
 # Patterns, shortest lengths and order of the base kinds.
 ASSIGN = re.compile(
@@ -51,12 +54,18 @@ ALPHABETS = (
     ("lower26", "abcdefghijklmnopqrstuvwxyz"), ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
+PLACES = {name: {c: i for i, c in enumerate(signs)} for name, signs in ALPHABETS}
 #: Chance that a person's next sign is of another class than the last.
 CHANGE = 0.1
-#: Level at which the battery rejects randomness; false-discovery rate.
+#: False-discovery rates: of the battery's rejections of randomness, and
+#: of the tokens found.
 REJECT, FALSE_DISCOVERY = 0.001, 0.001
+#: Classes of length: 8 to 15 signs, 16 to 31, ..., 1,024 and more.
+LENGTHS = 8
 #: Bins of the histogram, in bits of the p-value.
 BITS = 256
 
@@ -85,8 +94,9 @@ def _chi_tail(x: float, k: int) -> float:
 
 def battery(token: str, alphabet: str) -> float:
     """Combined p-value that the token is uniform over the alphabet."""
-    v = np.array([alphabet.index(c) for c in token], float)
-    n, m = len(v), len(alphabet)
+    place = PLACES[alphabet]
+    v = np.array([place[c] for c in token], float)
+    n, m = len(v), len(place)
     counts = np.bincount(v.astype(int), minlength=m)
     p1 = _chi_tail(float(((counts - n / m) ** 2).sum() * m / n), m - 1)
     high = v >= m / 2
@@ -110,15 +120,15 @@ def battery(token: str, alphabet: str) -> float:
 Letters = tuple[tuple[float, ...], ...]
 
 
-def letter_surprise(token: str, alphabet: str, letters: Letters) -> float:
+def letter_surprise(token: str, signs: int, letters: Letters) -> float:
     """As ``surprise``, letters after letters by their chance."""
     size = {1: 26, 2: 26, 3: 4}
     kind = [1 if c.islower() else 2 if c.isupper() else 3 for c in token]
-    bits = math.log2(size[kind[0]] * 3 / len(alphabet))
+    bits = math.log2(size[kind[0]] * 3 / signs)
     low = token.lower()
     for i in range(1, len(token)):
         x, y = kind[i - 1], kind[i]
-        bits -= math.log2(((1 - CHANGE) if x == y else CHANGE / 2) * len(alphabet))
+        bits -= math.log2(((1 - CHANGE) if x == y else CHANGE / 2) * signs)
         if x == 3 or y == 3:
             bits += math.log2(size[y])
         else:
@@ -126,14 +136,24 @@ def letter_surprise(token: str, alphabet: str, letters: Letters) -> float:
     return bits
 
 
-def surprise(token: str, alphabet: str) -> float:
+def length_class(token: str) -> int:
+    """Class of a token's length."""
+    return min(len(token).bit_length() - 4, LENGTHS - 1)
+
+
+def rejection(token: str, alphabet: str) -> int:
+    """Whole bits of the battery's p-value."""
+    return min(BITS, int(-math.log2(max(battery(token, alphabet), 2.0**-BITS))))
+
+
+def surprise(token: str, signs: int) -> float:
     """Bits of the likelihood ratio, random against written."""
     size = {0: 10, 1: 26, 2: 26, 3: 4}
     kind = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in token]
-    bits = math.log2(size[kind[0]] * 4 / len(alphabet))
+    bits = math.log2(size[kind[0]] * 4 / signs)
     for x, y in zip(kind, kind[1:]):
         p = (1 - CHANGE) if x == y else CHANGE / 3
-        bits += math.log2(size[y] / p / len(alphabet))
+        bits += math.log2(size[y] / p / signs)
     return bits
 
 
@@ -145,13 +165,12 @@ def stratum(token: str) -> int:
 def candidates(text: str, base: list[tuple[int, int, str]], letters: Letters) -> list[tuple[int, int, str, str, float]]:
     """Tokens outside the base spans: span, token, alphabet, bits."""
     out = []
-    for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if any(s < y and x < e for x, y, _ in base):
-            continue
-        token = m[0].rstrip("=")
-        alphabet = next(a for _, a in ALPHABETS if set(token) <= set(a))
-        bits = surprise(token, alphabet) if DIGIT.search(token) else letter_surprise(token, alphabet, letters)
+    for s, e, whole in free([(s, e) for s, e, _ in base], ((*m.span(), m[0]) for m in TOKEN.finditer(text))):
+        token = whole.rstrip("=")
+        signs = set(token)
+        alphabet = next(name for name, place in PLACES.items() if signs <= place.keys())
+        size = len(PLACES[alphabet])
+        bits = surprise(token, size) if DIGIT.search(token) else letter_surprise(token, size, letters)
         out.append((s, e, token, alphabet, bits))
     return out
 
@@ -199,32 +218,47 @@ def fit_letters(docs: DataFrame, text_col: str = "text") -> Letters:
 
 @dataclass(frozen=True)
 class Fitted:
-    """Thresholds in bits by stratum, and the chances of letters."""
+    """Thresholds in bits by stratum, the chances of letters, and the
+    battery's thresholds in bits by class of length."""
 
     least: tuple[int, ...]
     letters: Letters
+    reject: tuple[int, ...]
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
-    """Thresholds, by stratum, from the tokens of all documents."""
-    letters = fit_letters(docs, text_col)
+def _histograms(docs: DataFrame, text_col: str, classes: int, of) -> list[dict[int, int]]:
+    """Counts of whole bits by class; ``of`` gives (class, bits) of all
+    tokens of a text."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, list]:
-            n = np.zeros(4 * (BITS + 1), np.int64)
+            n = np.zeros(classes * (BITS + 1), np.int64)
             for t in batch.column(0).to_pylist():
                 if t:
-                    for _, _, token, _, bits in candidates(t, base_spans(t), letters):
-                        n[stratum(token) * (BITS + 1) + min(BITS, max(0, int(bits)))] += 1
+                    for k, bits in of(t):
+                        n[k * (BITS + 1) + min(BITS, max(0, int(bits)))] += 1
             return {"bin": np.flatnonzero(n), "n": n[n > 0]}
 
         return run
 
     rows = map_batches(docs.select(text_col), make, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
-    bins: list[dict[int, int]] = [{}, {}, {}, {}]
-    for r in rows.collect():  # at most 4 (BITS + 1) rows
+    bins: list[dict[int, int]] = [{} for _ in range(classes)]
+    for r in rows.collect():  # at most classes x (BITS + 1) rows
         bins[r.bin // (BITS + 1)][r.bin % (BITS + 1)] = r.n
-    return Fitted(tuple(map(threshold, bins)), letters)
+    return bins
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
+    """Thresholds from the tokens of all documents."""
+    letters = fit_letters(docs, text_col)
+    least = tuple(map(threshold, _histograms(
+        docs, text_col, 4, lambda t: ((stratum(x[2]), x[4]) for x in candidates(t, base_spans(t), letters))
+    )))
+    found = lambda t: (
+        (length_class(x[2]), rejection(x[2], x[3]))
+        for x in candidates(t, base_spans(t), letters) if int(x[4]) >= least[stratum(x[2])]
+    )
+    return Fitted(least, letters, tuple(threshold(b, REJECT) for b in _histograms(docs, text_col, LENGTHS, found)))
 
 
 def find(text: str | None, fitted: Fitted | int) -> list[tuple[int, int, str]]:
@@ -233,12 +267,12 @@ def find(text: str | None, fitted: Fitted | int) -> list[tuple[int, int, str]]:
     if not text:
         return []
     if isinstance(fitted, int):
-        fitted = Fitted((fitted,) * 4, letter_chances(np.zeros((26, 26))))
+        fitted = Fitted((fitted,) * 4, letter_chances(np.zeros((26, 26))), (math.ceil(-math.log2(REJECT)),) * LENGTHS)
     by, letters = fitted.least, fitted.letters
     base = base_spans(text)
     more = [
         (s, e, "random") for s, e, token, alphabet, bits in candidates(text, base, letters)
-        if int(bits) >= by[stratum(token)] and battery(token, alphabet) >= REJECT
+        if int(bits) >= by[stratum(token)] and rejection(token, alphabet) < fitted.reject[length_class(token)]
     ]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
