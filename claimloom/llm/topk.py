@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def weights(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Weights of those rows that take part, and which these are; shorter
     rows end in zeros."""
     n = len(vectors)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(vectors), 0)).astype(np.int64)
-    flat = np.asarray(pa.compute.fill_null(vectors.flatten().cast(pa.float64()), math.nan))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0)).astype(np.int64)
+    flat = np.asarray(pc.fill_null(vectors.flatten().cast(pa.float64()), math.nan))
     width = int(sizes.max()) if n else 0
     dense = np.zeros((n, width))
     inside = np.arange(width) < sizes[:, None]
