@@ -15,14 +15,16 @@ unless four codewords are missed in five of the six segments.  Measured,
 Candidates are filtered by the whole fingerprint and then verified on
 the texts' whole shingle sets.
 
-Equal sets are one node.  Every bucket links its members to its smallest
-one, small buckets also pair by pair.  Each node is first verified
-against the candidate with the nearest fingerprint, then pairs that
-would still join two groups are.  Large buckets that still have members
-of several groups get a few rounds with other centres, at last all pairs
-of members of different groups.  So a large group of near copies takes
-rows in proportion to its size, and no candidate that could join two
-groups is left out.
+Equal sets are one node.  First the buckets of one pair of segments link
+their members to a centre; each node is verified against the candidate
+with the nearest fingerprint, then pairs that would still join two groups
+are.  After that only buckets with members of several groups count, in
+all pairs of segments: each gets a centre of its largest group, small
+ones are compared pair by pair, larger ones get a few rounds with other
+centres and at last all pairs of members of different groups that the
+fingerprint allows.  So a large group of near copies takes rows in
+proportion to its size, and no candidate that could join two groups is
+left out.
 
 A random pair shares a key with a chance of 1 in 11,000: candidates that
 the fingerprint must reject grow with the square of the corpus.  Above
@@ -287,8 +289,8 @@ def _linked(close: DataFrame, links: DataFrame | None, texts: DataFrame, scratch
     links = found if links is None else links.unionByName(found)
     labels = scratch.table(components(links))
     rest = close.join(best.withColumnRenamed("y", "done"), "x").where("y != done").select("x", "y")
-    rest = scratch.table(rest)
-    rest = _labelled(_labelled(rest, labels, "y", "ly"), labels, "x", "lx").where("lx != ly").select("x", "y")
+    rest = _labelled(scratch.table(rest), labels, "x", "lx")
+    rest = _labelled(scratch.table(rest), labels, "y", "ly").where("lx != ly").select("x", "y")
     rest = scratch.table(rest)
     if not rest.isEmpty():
         more = scratch.table(_verified(rest, texts))
@@ -298,46 +300,58 @@ def _linked(close: DataFrame, links: DataFrame | None, texts: DataFrame, scratch
     return links, labels
 
 
+def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """``key, node, n, label`` of the buckets with members of several
+    groups."""
+    now = scratch.table(_labelled(members, labels, "node", "label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low < high").select("key", "n")
+    return scratch.table(salted_join(now, mixed.select("key"), "key", mixed, total))
+
+
 def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` of all linked nodes, from ``node, size, f0, f1, f2,
     codes`` and texts by ``row``."""
     total = nodes.count() * len(list(combinations(range(SEGMENTS), JOINED))) * COMBINATIONS ** (JOINED - 1)
     keys = _key_rows(nodes)
-    buckets = scratch.table(
-        keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    )
-    members = scratch.table(salted_join(keys, buckets, "key", buckets.select("key", "n"), total))
+    buckets = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    left = scratch.table(salted_join(keys, buckets, "key", buckets, total))
     scratch.drop(buckets)
-    # small buckets hold at most SMALL nodes each
-    small = members.where((F.col("n") > 2) & (F.col("n") <= SMALL)).groupBy("key").agg(F.collect_list("node").alias("m"))
-    small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y < F.col("x"))).alias("y"))
-    star = members.where("node != centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
-    close = _near(star.unionByName(small), nodes, scratch)
-    left = members.where(F.col("n") > SMALL).select("key", "node")
-    touched = Bitmap(close.select(F.explode(F.array("x", "y")).alias("row")).select(F.xxhash64("row").alias("h")), "h")
-    held = scratch.table(texts.withColumn("hit", touched.column(F.xxhash64("row"))).where("hit").select("row", "text"))
-    links, labels = _linked(close, None, held, scratch)
-    for turn in range(1, STARS + 1):
-        now = _labelled(scratch.table(left), labels, "node", "label")
-        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        now = scratch.table(salted_join(now, mixed.select("key"), "key", mixed, total))
-        if now.isEmpty():
-            break
-        if turn < STARS:
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    info = ("size", "f0", "f1", "f2")
+    for turn in range(STARS + 2):
+        if labels is None:  # the keys of the first segments: most of a large group meets there
+            now = left.where(F.col("key") < (1 << 12 * JOINED)).withColumn("label", F.col("node"))
+        else:
+            now = left = _mixed(left.select("key", "node", "n"), labels, total, scratch)
+            if now.isEmpty():
+                break
+        if turn <= STARS:  # a centre for each bucket: the largest groups have small labels
+            order = F.col("label") if turn < 2 else F.xxhash64("node", F.lit(turn))
             centre = now.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")).alias("c"), F.count("*").alias("n")
+                F.min(F.struct(order.alias("o"), "node", "label")).alias("c"), F.count("*").alias("n")
             )
             other = centre.select("key", F.col("c.node").alias("other"), F.col("c.label").alias("ol"))
-            pairs = salted_join(now, other, "key", centre.select("key", "n"), total).where("label != ol").select("node", "other")
-        else:  # every pair of members of different groups
-            b = now.select("key", F.col("node").alias("other"), F.col("label").alias("ol"))
-            pairs = now.join(b, "key").where("label < ol").select("node", "other")
-        left = now.select("key", "node")
+            pairs = salted_join(now.drop("n"), other, "key", centre.select("key", "n"), total)
+            pairs = pairs.where("label != ol").select("node", "other")
+        if turn == 1:  # small buckets hold at most SMALL nodes each
+            few = now.where((F.col("n") > 2) & (F.col("n") <= SMALL))
+            few = few.groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m")).select(F.explode("m").alias("a"), "m")
+            few = few.select("a", F.explode(F.filter("m", lambda y: (y["node"] < F.col("a.node")) & (y["label"] != F.col("a.label")))).alias("b"))
+            pairs = pairs.unionByName(few.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")))
+            left = now.where(F.col("n") > SMALL)
+        if turn > STARS:  # every pair of members of different groups that the fingerprint allows
+            near = now.select("key", "node", "label").join(nodes.select("node", *info), "node")
+            there = near.select("key", *(F.col(c).alias(f"o{c}") for c in ("node", "label", *info)))
+            apart = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"of{k}"))) for k in range(HASHES)), F.lit(0))
+            pairs = near.join(there, (near["key"] == there["key"]) & (F.col("label") < F.col("olabel")) & (apart <= FAR))
+            pairs = pairs.select("node", F.col("onode").alias("other"))
         close = _near(pairs.select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")), nodes, scratch)
-        if not close.isEmpty():
-            touched = Bitmap(close.select(F.explode(F.array("x", "y")).alias("row")).select(F.xxhash64("row").alias("h")), "h")
-            held = scratch.table(texts.withColumn("hit", touched.column(F.xxhash64("row"))).where("hit").select("row", "text"))
-            links, labels = _linked(close, links, held, scratch)
+        touched = Bitmap(close.select(F.explode(F.array("x", "y")).alias("row")).select(F.xxhash64("row").alias("h")), "h")
+        held = scratch.table(texts.withColumn("hit", touched.column(F.xxhash64("row"))).where("hit").select("row", "text"))
+        links, labels = _linked(close, links, held, scratch)
+        scratch.drop(close, held)
     return labels
 
 
