@@ -16,7 +16,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--question", help="question to the documents")
     p.add_argument("--profile", action="append", default=[])
     p.add_argument("--web", action="store_true", help="ask for web results, too")
-    p.add_argument("--format", choices=("text", "json"), default="text")
+    p.add_argument("--format", choices=("text", "json", "markdown"), default="text")
     a = p.parse_args(args)
     from pyspark.sql import SparkSession
 
@@ -28,19 +28,28 @@ def main(args: list[str] | None = None) -> int:
             df = QUERIES[a.query](spark, a.folder)
         else:
             from claimloom.plans.engine import Engine
-            from claimloom.sources.providers import ParquetKnowledge, StaticProfiles
+            from claimloom.sources.providers import StaticProfiles
 
-            engine = Engine(spark, knowledge=ParquetKnowledge(spark, a.folder), profiles=StaticProfiles(spark, {"default": "{}"}))
+            engine = Engine.standard(spark, a.folder, a.web)
+            engine.profiles = StaticProfiles(spark, {"default": "{}"})
             request = spark.createDataFrame(
                 [("cli", a.question or "", a.profile, a.web)],
                 "result_id string, question string, profiles array<string>, use_web boolean",
             )
-            df = engine.run(request).relations["evidence"]
+            run = engine.run(request)
+            if a.format == "markdown":
+                for row in run.rendered.toLocalIterator():
+                    print(row.line)
+                return 0
+            df = run.relations["evidence"]
+        # all rows, one partition of them at a time
         if a.format == "json":
-            for line in df.limit(100).toJSON().collect():
-                print(line)
+            for row in df.toJSON().toLocalIterator():
+                print(row)
         else:
-            df.show(20, 80)
+            print("\t".join(df.columns))
+            for row in df.toLocalIterator():
+                print("\t".join("" if x is None else str(x) for x in row))
     except (EngineError, KeyError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -38,11 +38,17 @@ def unit_or_null(x: Column | str) -> Column:
     return _c(x).isNull() | unit(x)
 
 
+def iso_local(x: Column | str) -> Column:
+    """ISO 8601 of a zone-less time; the fraction (six digits) only where
+    there is one."""
+    text = F.translate(_c(x).cast("timestamp_ntz").cast("string"), " ", "T")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
+
+
 def iso_timestamp(x: Column | str) -> Column:
-    """ISO 8601 with offset; the fraction only where there is one."""
-    whole = F.date_format(_c(x), "yyyy-MM-dd'T'HH:mm:ssxxx")
-    fraction = F.date_format(_c(x), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(F.date_format(_c(x), "SSSSSS") == "000000", whole).otherwise(fraction)
+    """ISO 8601 of an instant in UTC, whatever the session's zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), _c(x).cast("timestamp_ntz"))
+    return F.concat(iso_local(utc), F.lit("+00:00"))
 
 
 def iso_date(x: Column | str) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Independent publishers that make a claim supported.
 INDEPENDENT = 2
-#: Passages under three words that may be broadcast.
-FEW = 1_000
+#: First signs of a passage under three words that it is joined on.
+SIGNS = 8
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -18,8 +18,8 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", te
     Not a nested loop: an occurrence contains the passage's longest
     interior word (the first and last may be cut), so the two sides are
     joined on it and then verified.  Passages of fewer than three words
-    have none; up to ``FEW`` of them are broadcast and compared in full,
-    more raise a ValueError, since that would be a cross join.
+    have none: these are joined on their first ``SIGNS`` signs (all, if
+    shorter) with the runs of so many signs of the documents.
     """
     p = passages.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage"))
     inner = F.slice(F.split("passage", " "), 2, F.greatest(F.lit(0), F.size(F.split("passage", " ")) - 2))
@@ -34,13 +34,18 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", te
         .where(F.contains("body", "passage")).select("item_id", "doc_id")
     )
     short = p.where("word is null and passage <> ''")
-    n = short.limit(FEW + 1).count()
-    if not n:
-        return found
-    if n > FEW:
-        raise ValueError(f"more than {FEW} passages have fewer than three words")
-    few = d.join(F.broadcast(short), F.contains("body", "passage")).select("item_id", "doc_id")
-    return found.unionByName(few)
+    short = short.withColumn("size", F.least(F.char_length("passage"), F.lit(SIGNS)))
+    for (size,) in short.select("size").distinct().collect():  # at most SIGNS rows
+        mine = short.where(F.col("size") == size).withColumn("run", F.substring("passage", 1, size))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("body") - (size - 1)))
+        runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("body", i, F.lit(size))))).alias("run"))
+        runs = runs.join(mine.select("run").distinct(), "run", "left_semi")
+        near = runs.join(mine.select("run", "item_id"), "run").select("doc_id", "item_id").distinct()
+        found = found.unionByName(
+            near.join(mine.select("item_id", "passage"), "item_id").join(d, "doc_id")
+            .where(F.contains("body", "passage")).select("item_id", "doc_id")
+        )
+    return found
 
 
 def status(supporting: Column, conflicting: Column, only_web: Column | None = None) -> Column:

@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import cosine, strip, tokens
 
-#: A token in more than this share of the documents tells nothing about
-#: one of them and is no search term.
+#: A share of the documents above which a query may call a token common.
 COMMON = 0.02
 
 
-def search_terms(docs: DataFrame, id_col: str, text_col: str, common: float = COMMON) -> DataFrame:
-    """``id, term`` of the distinct tokens that are not common."""
+def search_terms(docs: DataFrame, id_col: str, text_col: str, common: float | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """``id, term`` of the distinct tokens: those that are ``asked`` for,
+    if given, and without those in more than the share ``common`` of the
+    documents, if given (by default all tokens tell something)."""
     terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("term"))
+    if asked is not None:  # before anything is counted or shuffled
+        terms = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    if common is None:
+        return terms
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
+    n = docs.agg(F.count("*").alias("n_docs"))  # one row
     rare = df.join(F.broadcast(n), F.col("df") <= F.col("n_docs") * common).select("term")
     return terms.join(rare, "term")
 
 
 def retrieve(requests: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
-             common: float = COMMON) -> DataFrame:
+             common: float | None = None) -> DataFrame:
     """Top k documents of each request by the number of shared terms.
 
     ``requests`` has ``request_id`` and ``question``.  An inverted-index
-    join; common terms are out on both sides, which bounds every list.
+    join over the terms asked for; matches of a request and a document
+    are counted before the shuffle.
     """
     asked = requests.select("request_id", F.explode(tokens("question")).alias("term"))
     hits = (
-        search_terms(docs, id_col, text_col, common).join(asked, "term")
+        search_terms(docs, id_col, text_col, common, asked).join(asked, "term")
         .groupBy("request_id", "id").agg(F.count("*").alias("n_shared"))
     )
     w = Window.partitionBy("request_id").orderBy(F.col("n_shared").desc(), "id")

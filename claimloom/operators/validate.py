@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.errors import ContractViolation, InvalidRequest
-from claimloom.operators.rules import RULES, row_violations, zone_violations
+from claimloom.operators.rules import RULES, row_violations, type_of, zone_violations
 
 #: Rule, relation, id column and phase of the uniqueness checks.
 UNIQUE = (
@@ -93,16 +93,17 @@ def graph_violations(relations: Relations) -> DataFrame:
                 F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("sub"), F.lit(0).alias("sub_pos"),
             )
         )
+    has = lambda relation, column: relation in relations and type_of(relations[relation], column) is not None
     for rule, relation, id_col, phase in UNIQUE:
-        if relation in relations:
+        if has(relation, id_col):
             ids.append(
                 relations[relation].select(
                     "result_id", F.lit(rule).alias("rule_id"), F.col(id_col).alias("value"), F.lit(phase).alias("phase"),
                     F.col("pos").cast("bigint").alias("item"), F.lit(0).alias("sub"), F.lit(0).alias("sub_pos"),
                 )
             )
-    for rule, holder, _, target, _, _, phase, sub in REFERENCES:
-        if holder in relations and target in relations:
+    for rule, holder, column, target, target_id, name, phase, sub in REFERENCES:
+        if has(holder, column) and has(holder, name) and has(target, target_id):
             refs.append(
                 references(rule, relations).select(
                     "result_id", F.lit(rule).alias("rule_id"), F.lit(target).alias("kind"), "ref",
@@ -111,7 +112,7 @@ def graph_violations(relations: Relations) -> DataFrame:
                 )
             )
     for target, id_col in sorted({(r[3], r[4]) for r in REFERENCES}):
-        if target in relations:
+        if has(target, id_col):
             known.append(relations[target].select("result_id", F.lit(target).alias("kind"), F.col(id_col).alias("ref")))
     if ids:
         w = Window.partitionBy("result_id", "rule_id", "value").orderBy("item")
@@ -123,6 +124,10 @@ def graph_violations(relations: Relations) -> DataFrame:
             reduce(DataFrame.unionByName, known), ["result_id", "kind", "ref"], "left_anti"
         )
         out.append(missing.select("result_id", "rule_id", "value", *order))
+    if not out:
+        spark = next(iter(relations.values())).sparkSession
+        kinds = "result_id string, rule_id string, value string, phase int, item bigint, sub int, sub_pos int"
+        return spark.createDataFrame([], kinds)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -167,7 +172,7 @@ def check(relations: Relations) -> None:
             raise InvalidRequest(f"invalid requests: {bad}")
     bad = all_row_violations(relations).limit(5).collect()
     if bad:
-        raise ContractViolation(f"rows break rules: {bad}", bad)
+        raise ContractViolation("rows break rules", rows=bad)
     bad = first_violations(relations).limit(5).collect()
     if bad:
-        raise ContractViolation(f"graphs break rules: {bad}", bad)
+        raise ContractViolation("graphs break rules", rows=bad)

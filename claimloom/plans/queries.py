@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import WHITESPACE, digest
+from claimloom.functions import WHITESPACE, digest, iso_date, iso_local
 from claimloom.functions.serialize import to_json
 from claimloom.operators import accessors, claims, conflicts, gaps, normalize, quality, rank, render, retrieve, trace, validate
-from claimloom.operators.rules import row_violations
+from claimloom.operators.rules import domain_violations, row_violations, zone_violations
+from claimloom.plans import engine
 from claimloom.schema import DIMENSIONS, LOWER_IS_BETTER
 from claimloom.sources import tables
 from claimloom.sources.tables import table
@@ -369,7 +370,7 @@ SELECT request_id, CAST(rank AS INTEGER) AS rank, doc_id, n_shared FROM (
 SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n_shared DESC, doc_id) AS rank FROM h) WHERE rank <= 10""")
 def retrieve_topk(spark, d):
     asked = _requests(spark, d).select(F.col("result_id").alias("request_id"), "question")
-    return retrieve.retrieve(asked, table(spark, d, "documents"), 10)
+    return retrieve.retrieve(asked, table(spark, d, "documents"), 10, common=retrieve.COMMON)
 
 
 @query("retrieve_embedding_topk", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -581,9 +582,11 @@ FACTS = """WITH facts AS (SELECT CAST(c_custkey AS VARCHAR) AS subject, count(DI
 """
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_totalprice > 250000")
-    li = table(spark, d, "lineitem").where("l_quantity > 30")
+def _facts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Facts of customers, from large orders and lines or from all."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    if not whole:
+        o, li = o.where("o_totalprice > 250000"), li.where("l_quantity > 30")
     joined = (
         table(spark, d, "customer").select("c_custkey").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -698,3 +701,188 @@ def result_status(spark, d):
     f = _facts(spark, d)
     n = F.size(F.array_compact(F.array(*(F.when(p, F.lit(1)) for _, _, p in gaps.conditions().values()))))
     return f.select("subject", F.when(F.col("n_evidence") == 0, "partial").otherwise("complete").alias("status"), n.cast("bigint").alias("n_gaps"))
+
+
+# --- every row rule, defaults and time zones ----------------------------------------------------------
+_BLANK = "trim({0}, " + WS + ") = ''"
+_UNIT = "{0} IS NOT NULL AND NOT ({0} BETWEEN 0 AND 1)"
+_SURE = "{0} IS NULL OR NOT ({0} BETWEEN 0 AND 1)"
+_LEAST = "NOT {0} > 0"
+RULE_SQL = {
+    "requests": {"V01": _BLANK.format("question"), "V02": _BLANK.format("profile"), "V03": _LEAST.format("max_knowledge_results"),
+                 "V04": _LEAST.format("max_web_results"), "V05": _LEAST.format("max_web_pages")},
+    "sources": {"V06": _BLANK.format("source_id")},
+    "evidence": {
+        "V07": _BLANK.format("provenance_source_id"), "V09": "retrieval_rank < 0", "V10": _UNIT.format("retrieval_score"),
+        "V11": _UNIT.format("provenance_confidence"), "V12": _UNIT.format("relevance"), "V13": _UNIT.format("authority"),
+        "V14": _UNIT.format("recency"), "V15": _UNIT.format("quality_confidence"), "V16": _BLANK.format("link_claim_id"),
+        "V17": _SURE.format("link_confidence"), "V18": _BLANK.format("evidence_id"), "V19": _BLANK.format("content"),
+        "V20": _BLANK.format("source_id"),
+    },
+    "claims": {"V22": _BLANK.format("claim_id"), "V23": _BLANK.format("statement"), "V24": _SURE.format("confidence")},
+    "contradictions": {"V25": _BLANK.format("contradiction_id"), "V26": _BLANK.format("description"), "V27": "n_claims + n_evidence < 2"},
+    "gaps": {"V28": _BLANK.format("gap_id"), "V29": _BLANK.format("description")},
+    "open_questions": {"V30": _BLANK.format("question")},
+    "dimensions": {"V31": _UNIT.format("score")},
+    "diagnostics": {"V32": _UNIT.format("composite")},
+    "trace_events": {"V33": _BLANK.format("event_id"), "V34": _BLANK.format("message"), "V36": "duration_ms < 0"},
+    "syntheses": {"V37": _BLANK.format("narrative"), "V39": _UNIT.format("confidence")},
+}
+
+
+def _broken(relation: str) -> None:
+    """A query of all row rules of a relation, none of which holds everywhere."""
+    columns = ", ".join(f"{sql} AS {k}" for k, sql in tables.BROKEN[relation].items()).replace("AS STRING", "AS VARCHAR")
+    t = f"(SELECT CAST(l_orderkey AS VARCHAR) AS result_id, CAST(l_linenumber AS BIGINT) AS pos, {columns} FROM lineitem)"
+    sql = "\nUNION ALL\n".join(
+        f"SELECT result_id, pos, '{rule}' AS rule_id FROM {t} WHERE {broken}" for rule, broken in RULE_SQL[relation].items()
+    )
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return row_violations(relation, tables.broken_graphs(spark, d)[relation]).select("result_id", "pos", "rule_id")
+
+    query(f"rules_{relation}", sql)(run)
+
+
+for _name in RULE_SQL:
+    _broken(_name)
+
+
+@query("rules_zones", "\nUNION ALL\n".join(
+    f"SELECT {zone} AS has_zone, '{rule}' AS rule_id, '{relation}' AS relation FROM (SELECT any_value(typeof({cast})) AS t FROM orders) WHERE t = 'TIMESTAMP'"
+    for zone, cast in (("true", "CAST(o_orderdate AS TIMESTAMPTZ)"), ("false", "o_orderdate"))
+    for rule, relation in (("V08", "evidence"), ("V21", "evidence"), ("V35", "trace_events"), ("V38", "syntheses"), ("V40", "results"))))
+def rules_zones(spark, d):
+    rows = [(zone, rule, relation) for zone in (True, False)
+            for rule, relation, _ in zone_violations(tables.timed_graphs(spark, d, zone))]
+    return spark.createDataFrame(rows, "has_zone boolean, rule_id string, relation string")
+
+
+DOMAIN_VALUES = {"severity": ("low", "huge"), "status": ("open", "closed"), "gap_type": ("no_evidence", "none")}
+
+
+@query("rules_domains", "WITH g AS (SELECT CAST(l_orderkey AS VARCHAR) AS result_id, CAST(l_linenumber AS BIGINT) AS pos, l_partkey FROM lineitem)\n"
+       + "\nUNION ALL\n".join(f"SELECT result_id, pos, '{f}' AS field FROM g WHERE l_partkey % {k + 2} = 0" for k, f in enumerate(DOMAIN_VALUES)))
+def rules_domains(spark, d):
+    li = table(spark, d, "lineitem")
+    g = li.select(
+        F.col("l_orderkey").cast("string").alias("result_id"), F.col("l_linenumber").cast("bigint").alias("pos"),
+        *(F.when(F.col("l_partkey") % (k + 2) == 0, bad).otherwise(good).alias(f) for k, (f, (good, bad)) in enumerate(DOMAIN_VALUES.items())),
+    )
+    return domain_violations("gaps", g).select("result_id", "pos", "field")
+
+
+@query("request_defaults", """SELECT CAST(o_orderkey AS VARCHAR) AS result_id, CAST(o_custkey AS BIGINT) AS pos, o_orderpriority AS question, CAST(0 AS INTEGER) AS n_profiles,
+  true AS use_knowledge, o_orderstatus = 'F' AS use_web, CAST(10 AS BIGINT) AS max_knowledge_results,
+  CAST(CASE WHEN o_custkey % 3 = 0 THEN 5 ELSE 7 END AS BIGINT) AS max_web_results, CAST(5 AS BIGINT) AS max_web_pages,
+  CASE WHEN o_custkey % 2 = 0 THEN 'en' ELSE 'fr' END AS language, false AS strict, '{}' AS metadata FROM orders""")
+def request_defaults(spark, d):
+    given = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("result_id"), F.col("o_custkey").cast("bigint").alias("pos"),
+        F.col("o_orderpriority").alias("question"), F.when(F.col("o_orderstatus") == "F", F.lit(True)).alias("use_web"),
+        F.when(F.col("o_custkey") % 3 != 0, F.lit(7)).cast("bigint").alias("max_web_results"),
+        F.when(F.col("o_custkey") % 2 != 0, F.lit("fr")).alias("language"), F.lit("not a column").alias("stray"),
+    )
+    full = normalize.with_defaults("requests", given)
+    return full.select(*(c for c in full.columns if c not in ("profiles", "as_of_date")), F.size("profiles").alias("n_profiles"))
+
+
+@query("serialize_traces", """SELECT event_id AS pos, '{"event_id":"evt-' || event_id || '","stage":"' ||
+  CASE event_type WHEN 'click' THEN 'retrieval' WHEN 'view' THEN 'extraction' WHEN 'purchase' THEN 'synthesis' WHEN 'signup' THEN 'init' WHEN 'error' THEN 'other' END ||
+  '","seen":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END ||
+  '","occurred_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END ||
+  '+00:00","day":"' || strftime(ts, '%Y-%m-%d') || '","flags":[' || (user_id % 2 = 0) || ',null],"payload":' || props || ',"notes":{"stage":null,"metadata":' ||
+  CASE WHEN user_id % 3 = 0 THEN 'null' ELSE '{"user":' || user_id || '}' END || '}}' AS json FROM events""")
+def serialize_traces(spark, d):
+    e = tables.trace_of_events(table(spark, d, "events"))
+    user = F.col("result_id").cast("bigint")
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("occurred_at"))  # the column holds UTC
+    e = e.select(
+        "result_id", "pos", "event_id", "stage", F.col("occurred_at").alias("seen"), utc.cast("timestamp").alias("occurred_at"),
+        F.col("seen").cast("date").alias("day"), F.array(user % 2 == 0, F.lit(None).cast("boolean")).alias("flags"), "payload",
+        F.struct(F.lit(None).cast("string").alias("stage"),
+                 F.when(user % 3 != 0, F.concat(F.lit('{"user":'), user.cast("string"), F.lit("}"))).alias("metadata")).alias("notes"),
+    )
+    return e.select("pos", to_json(e, "result_id", "pos").alias("json"))
+
+
+@query("serialize_dates", """SELECT o_orderkey AS pos, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(o_orderdate) % 1000000 = 0 THEN '' ELSE '.' || strftime(o_orderdate, '%f') END AS local,
+  strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
+def serialize_dates(spark, d):
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("pos"), iso_local("o_orderdate").alias("local"), iso_date(F.col("o_orderdate").cast("date")).alias("day")
+    )
+
+
+# --- whole tables ----------------------------------------------------------------------------------------
+@query("retrieve_ranked", """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS term FROM documents),
+q AS (SELECT conv_id || '-' || turn AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS term FROM conversations WHERE role = 'user'),
+h AS (SELECT request_id, doc_id, count(*) AS n_shared FROM q JOIN t USING (term) GROUP BY 1, 2)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, doc_id, n_shared FROM (
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n_shared DESC, doc_id) AS rank FROM h) WHERE rank <= 10""")
+def retrieve_ranked(spark, d):
+    """The ten best documents by all shared terms, however common."""
+    asked = _requests(spark, d).select(F.col("result_id").alias("request_id"), "question")
+    return retrieve.retrieve(asked, table(spark, d, "documents"), 10)
+
+
+ALL_FACTS = FACTS.replace(" WHERE o_totalprice > 250000", "").replace(" WHERE l_quantity > 30", "")
+
+
+@query("gaps_every", ALL_FACTS + f"SELECT * FROM ({ALL_GAPS})")
+def gaps_every(spark, d):
+    """Gaps of all customers from all orders and lines."""
+    return gaps.gaps(_facts(spark, d, whole=True))
+
+
+@query("open_questions_every", ALL_FACTS + f"""SELECT subject, gap_type, 'How can ' || replace(gap_type, '_', ' ') || ' of ' || subject || ' be resolved?' AS question,
+CASE WHEN severity IN ('high', 'critical') THEN 'high' ELSE 'medium' END AS priority FROM ({ALL_GAPS}) WHERE severity <> 'low'""")
+def open_questions_every(spark, d):
+    """Open questions from all orders and lines."""
+    return gaps.open_questions(gaps.gaps(_facts(spark, d, whole=True)))
+
+
+# --- contested claims, contradictions as records -------------------------------------------------------------
+@query("claim_statuses", """WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) AS claim_id, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_suppkey END) AS pro,
+  count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS contra, bool_and(l_linestatus = 'O') AS only_web FROM lineitem GROUP BY 1)
+SELECT claim_id, CASE WHEN pro > 0 AND contra > 0 THEN 'contested' WHEN pro >= 2 THEN 'supported' WHEN pro = 1 AND only_web THEN 'unresolved'
+  WHEN pro = 1 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM c""")
+def claim_statuses(spark, d):
+    """Status of an order's claim: suppliers of accepted lines for, of
+    returned ones against; open lines stand for the web."""
+    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("claim_id")).agg(
+        F.count_distinct(F.when(F.col("l_returnflag") == "A", F.col("l_suppkey"))).alias("pro"),
+        F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("contra"),
+        F.bool_and(F.col("l_linestatus") == "O").alias("only_web"),
+    )
+    return c.select("claim_id", claims.status(F.col("pro"), F.col("contra"), F.col("only_web")).alias("status"))
+
+
+@query("contradiction_pairs", NUMERIC + """SELECT subject, subject || '/' || hi.scope AS claim_id, x.subject || '/' || lo.scope AS other_id FROM (SELECT * FROM x) x
+JOIN (SELECT subject, attribute, min(scope) AS scope FROM nc JOIN (SELECT subject, attribute, low FROM x) USING (subject, attribute) WHERE CAST(value AS DOUBLE) = low GROUP BY 1, 2) lo USING (subject, attribute)
+JOIN nc hi USING (subject, attribute) WHERE (CAST(hi.value AS DOUBLE) - x.low) / nullif(greatest(abs(CAST(hi.value AS DOUBLE)), abs(x.low)), 0) > CAST(0.05 AS DOUBLE)""")
+def contradiction_pairs(spark, d):
+    """Claims that contradict the lowest one of their group, by id."""
+    return conflicts.numeric_pairs(_numeric(spark, d)).select("subject", "claim_id", "other_id")
+
+
+#: What may go wrong in a run (by an order's number), the run's status and
+#: whether a strict request fails.
+DEGRADATION = (
+    ("nothing", "complete", False), ("no evidence", "partial", True), ("one provider failed", "partial", True),
+    ("all providers failed", "raised", True), ("extraction failed", "partial", True),
+    ("contradiction detection failed", "partial", True), ("gap analysis failed", "partial", True),
+    ("synthesis failed", "partial", True), ("rendering failed", "complete", False), ("unknown profile", "raised", True),
+    ("invalid request", "raised", True), ("broken graph", "raised", True),
+)
+
+
+@query("degradation", "SELECT CAST(o_orderkey AS VARCHAR) AS result_id, CASE o_orderkey % 12 " + " ".join(
+    f"WHEN {k} THEN '{s}'" for k, (_, s, _) in enumerate(DEGRADATION)) + " END AS status, CASE o_orderkey % 12 " + " ".join(
+    f"WHEN {k} THEN {str(f).lower()}" for k, (_, _, f) in enumerate(DEGRADATION)) + " END AS fails_strict FROM orders")
+def degradation(spark, d):
+    """Status of runs from the events of their traces."""
+    o = table(spark, d, "orders")
+    names = F.array(*(F.lit(n) for n, _, _ in DEGRADATION))
+    seen = o.select(F.col("o_orderkey").cast("string").alias("result_id"), F.element_at(names, (F.col("o_orderkey") % 12 + 1).cast("int")).alias("condition"))
+    return engine.outcome(seen).select("result_id", "status", "fails_strict")

@@ -99,6 +99,38 @@ class ParquetKnowledge:
         )
 
 
+class ParquetWeb:
+    """Pages of a folder in the place of a search engine."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def search(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sources and excerpts of the best pages by shared terms, up to
+        each request's number of pages."""
+        from pyspark.sql import functions as F
+
+        from claimloom.operators.retrieve import page_text, retrieve, web_excerpts, web_sources
+        from claimloom.sources.tables import table
+
+        pages = table(self.spark, self.folder, "pages")
+        asked = requests.select(F.col("result_id").alias("request_id"), "question")
+        most = requests.agg(F.max("max_web_pages")).first()[0] or 0
+        texts = pages.select("page_id", page_text("html").alias("text"))
+        found = retrieve(asked, texts, int(most), "page_id").join(
+            requests.select(F.col("result_id").alias("request_id"), "max_web_pages"), "request_id"
+        ).where(F.col("rank") <= F.col("max_web_pages")).select(
+            F.col("request_id").alias("result_id"), (F.col("rank") - 1).cast("bigint").alias("pos"),
+            F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("source_id"),
+        )
+        sources = found.join(web_sources(pages), "source_id")
+        evidence = found.join(web_excerpts(pages).join(web_sources(pages).select("source_id", "publisher"), "source_id"), "source_id")
+        return sources, evidence.select(
+            "result_id", "pos", F.concat("source_id", F.lit("#0")).alias("evidence_id"), "content", "source_id", "publisher",
+            F.lit("web").alias("source_type"),
+        )
+
+
 class StaticProfiles:
     """Profiles from a mapping of id to configuration (JSON text)."""
 

@@ -123,3 +123,88 @@ def trace_of_events(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("message"), F.col("ts").alias("occurred_at"),
         F.when(F.col("event_type") != "view", F.col("value")).alias("duration_ms"), F.col("props").alias("payload"),
     )
+
+
+def _mod(m: int, *cases: str, rest: str) -> str:
+    """SQL (Spark's and others') that picks a value by the part's key."""
+    return "CASE " + " ".join(f"WHEN l_partkey % {m} = {k} THEN {v}" for k, v in enumerate(cases)) + f" ELSE {rest} END"
+
+
+def _text(m: int) -> str:
+    return _mod(m, "concat(chr(160), ' ')", rest="concat('x', CAST(l_partkey AS STRING))")
+
+
+def _share(m: int) -> str:
+    return "CAST(" + _mod(m, "1.5", "-0.1", "'NaN'", "NULL", "0", rest="1").replace("1.5", "'1.5'").replace("-0.1", "'-0.1'").replace(
+        "THEN 0", "THEN '0'").replace("ELSE 1", "ELSE '1'") + " AS DOUBLE)"
+
+
+#: Scalar columns, by relation, of graphs in which every row rule breaks
+#: somewhere; the expressions read alike in Spark's SQL and in others.
+BROKEN: dict[str, dict[str, str]] = {
+    "requests": {
+        "question": _text(11), "profile": _text(13), "max_knowledge_results": _mod(17, "0", "-1", rest="5"),
+        "max_web_results": _mod(19, "0", "-1", rest="5"), "max_web_pages": _mod(23, "0", "-1", rest="5"),
+    },
+    "sources": {"source_id": _text(11)},
+    "evidence": {
+        "evidence_id": _text(13), "content": _text(17), "source_id": _text(19), "provenance_source_id": _text(23),
+        "retrieval_rank": _mod(29, "-1", "NULL", rest="0"), "retrieval_score": _share(31), "provenance_confidence": _share(37),
+        "relevance": _share(41), "authority": _share(43), "recency": _share(47), "quality_confidence": _share(53),
+        "link_claim_id": _text(59), "link_confidence": _share(61),
+    },
+    "claims": {"claim_id": _text(11), "statement": _text(13), "confidence": _share(17)},
+    "contradictions": {"contradiction_id": _text(11), "description": _text(13), "n_claims": _mod(17, "0", "1", rest="2"),
+                       "n_evidence": _mod(19, "0", "1", rest="2")},
+    "gaps": {"gap_id": _text(11), "description": _text(13)},
+    "open_questions": {"question": _text(11)},
+    "dimensions": {"score": _share(11)},
+    "diagnostics": {"composite": _share(13)},
+    "trace_events": {"event_id": _text(11), "message": _text(13),
+                     "duration_ms": "CAST(" + _mod(17, "'-1'", "'NaN'", "NULL", rest="'0'") + " AS DOUBLE)"},
+    "syntheses": {"narrative": _text(11), "confidence": _share(13)},
+}
+
+
+def broken_graphs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Lines of orders as members of every relation, with the columns of
+    ``BROKEN`` nested as the relations have them."""
+    li = table(spark, folder, "lineitem")
+    c = F.col
+    flat = {
+        name: li.select(
+            c("l_orderkey").cast("string").alias("result_id"), c("l_linenumber").cast("bigint").alias("pos"),
+            *(F.expr(sql).alias(k) for k, sql in columns.items()),
+        )
+        for name, columns in BROKEN.items()
+    }
+    ids = lambda n: F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, c(n)), lambda i: F.concat(F.lit("x"), i.cast("string")))
+    out = dict(flat)
+    out["requests"] = flat["requests"].withColumn("profiles", F.array(F.lit("p"), c("profile"))).drop("profile")
+    out["evidence"] = flat["evidence"].select(
+        "result_id", "pos", "evidence_id", "content", "source_id",
+        F.struct(c("provenance_source_id").alias("source_id"), "retrieval_rank", "retrieval_score",
+                 c("provenance_confidence").alias("extraction_confidence")).alias("provenance"),
+        F.struct("relevance", "authority", "recency", c("quality_confidence").alias("extraction_confidence")).alias("quality"),
+        F.array(F.struct(F.lit("c").alias("claim_id"), F.lit(0.5).alias("confidence")),
+                F.struct(c("link_claim_id").alias("claim_id"), c("link_confidence").alias("confidence"))).alias("claim_links"),
+    )
+    out["contradictions"] = flat["contradictions"].select(
+        "result_id", "pos", "contradiction_id", "description", ids("n_claims").alias("claim_ids"), ids("n_evidence").alias("evidence_ids")
+    )
+    return out
+
+
+def timed_graphs(spark: SparkSession, folder: str, zone: bool) -> dict[str, DataFrame]:
+    """Relations with the time columns that must have a zone, with or
+    without one."""
+    kind = "timestamp" if zone else "timestamp_ntz"
+    o = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("result_id"), F.lit(0).cast("bigint").alias("pos"), F.col("o_orderdate").cast(kind).alias("t")
+    )
+    return {
+        "evidence": o.select("result_id", "pos", F.struct(F.col("t").alias("retrieved_at")).alias("provenance"), F.col("t").alias("observed_at")),
+        "trace_events": o.select("result_id", "pos", F.col("t").alias("occurred_at")),
+        "syntheses": o.select("result_id", "pos", F.col("t").alias("synthesized_at")),
+        "results": o.select("result_id", "pos", F.col("t").alias("completed_at")),
+    }
