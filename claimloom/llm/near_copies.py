@@ -12,17 +12,18 @@ at 0.8.  Keys join the codewords of two segments (15 pairs, the ten best
 combinations of each): by the pigeonhole principle a pair is found
 unless four codewords are missed in five of the six segments.  Measured,
 7 pairs in 10,000 at exactly 0.8 are missed and none in 3,000 at 0.85.
-Candidates are filtered by the whole fingerprint and then verified on
-the texts' whole shingle sets.
+Candidates are filtered by the whole fingerprint and by a bitmap of the
+hashes that occur (which bounds the shingles that differ from below, so
+it is exact), then verified on the texts' whole shingle sets.
 
 Equal sets are one node.  First the buckets of one pair of segments link
 their members to a centre; each node is verified against the candidate
 with the nearest fingerprint, then pairs that would still join two groups
 are.  After that only buckets with members of several groups count, in
 all pairs of segments: each gets a centre of its largest group, small
-ones are compared pair by pair, larger ones get a few rounds with other
-centres and at last all pairs of members of different groups that the
-fingerprint allows.  So a large group of near copies takes rows in
+ones are compared pair by pair, and in larger ones that still have
+several groups all pairs of members of different groups that the
+sketches allow.  So a large group of near copies takes rows in
 proportion to its size, and no candidate that could join two groups is
 left out.
 
@@ -33,7 +34,7 @@ some 10^8 texts keys should join three segments (``JOINED``).
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import Bitmap, Scratch, components, key_counts, map_batches, salted_join
-from claimloom.llm.simhash import GENERATOR, LOWER, syndrome_of, syndromes
+from claimloom.llm.simhash import LOWER, syndrome_of, syndromes
 
 #: Words of a shingle; similarity NUMERATOR / DENOMINATOR.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -52,11 +53,15 @@ SEGMENTS = 2 * HASHES
 #: Codewords of a segment; segments of a key, and keys of each choice.
 NEAREST, JOINED, COMBINATIONS = 4, 2, 10
 #: Bits that may differ: 21 are expected at 0.8, with a deviation of 4.
-FAR = 46
+FAR = 38
+#: Words of 64 marks: bits of the hashes that occur.  Marks of two sets
+#: that differ are no more than the shingles that do.
+MARKS = 16
+INFO = ("size", *(f"f{k}" for k in range(HASHES)), *(f"m{k}" for k in range(MARKS)))
 #: Members of a bucket that are compared pair by pair at once.
 SMALL = 16
-#: Rounds of centres for larger buckets.
-STARS = 3
+#: Rounds of centres before larger buckets are compared in full.
+STARS = 1
 #: Shingles of texts that a worker keeps while it verifies.
 KEPT = 1_000_000
 #: Blocks of 255 shingles, and rows of segments, that are worked on at once.
@@ -171,6 +176,15 @@ def keys_of(codes: np.ndarray, costs: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def marks_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Marks of sets, MARKS words of each."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    seen = np.zeros((len(sets), 64 * MARKS), bool)
+    at = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(40)) % np.uint64(64 * MARKS)
+    seen[np.repeat(np.arange(len(sets)), sizes), at.astype(np.int64)] = True
+    return np.packbits(seen, axis=1, bitorder="little").view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets are near copies."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -179,15 +193,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _sketch(text: Column | str) -> Column:
     """Struct of the set's 128-bit digest and size, the fingerprint in
-    three words, and codewords with costs (none if the set is empty)."""
+    three words, marks, and codewords with costs (none if the set is
+    empty)."""
+    longs = ", ".join(f"{c} bigint" for c in INFO[1:])
 
-    @F.arrow_udf("k1 bigint, k2 bigint, size int, f0 bigint, f1 bigint, f2 bigint, codes array<bigint>")
+    @F.arrow_udf(f"k1 bigint, k2 bigint, size int, {longs}, codes array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
         import xxhash
 
         sets = [shingle_set(t) for t in texts.to_pylist()]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         full = [k for k, s in enumerate(sets) if len(s)]
+        marks = marks_of(sets)
         prints = np.zeros((len(sets), HASHES), np.int64)
         packed = np.zeros((0, SEGMENTS * NEAREST), np.int64)
         if full:
@@ -200,8 +217,9 @@ def _sketch(text: Column | str) -> Column:
         return pa.StructArray.from_arrays(
             [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])),
              pa.array(list(map(len, sets)), pa.int32()), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(HASHES)),
+             *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS)),
              pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(packed.ravel()))],
-            ["k1", "k2", "size", "f0", "f1", "f2", "codes"],
+            ["k1", "k2", *INFO, "codes"],
         )
 
     return run(text)
@@ -256,19 +274,32 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(rows.select("x", "y", "text_x", "text_y"), make, "a bigint, b bigint")
 
 
+def _apart(x: str, y: str, word: str, n: int) -> Column:
+    """Bits that differ in words of two nodes."""
+    return sum((F.bit_count(F.col(f"{x}{word}{k}").bitwiseXOR(F.col(f"{y}{word}{k}"))) for k in range(n)), F.lit(0))
+
+
+def _allowed(x: str, y: str) -> Column:
+    """Whether sizes, marks and fingerprints of two nodes (columns under
+    prefixes) allow the similarity; only the fingerprint may err."""
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    return (
+        (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR)
+        & (_apart(x, y, "m", MARKS) * (NUMERATOR + DENOMINATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
+        & (_apart(x, y, "f", HASHES) <= FAR)
+    )
+
+
+def _info(nodes: DataFrame, prefix: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(prefix), *(F.col(c).alias(f"{prefix}{c}") for c in INFO))
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs ``x > y`` whose sizes and fingerprints allow the
-    similarity, with the bits that differ."""
+    """Distinct pairs ``x > y`` that the sketches allow, with the bits of
+    the fingerprints that differ."""
     pairs = scratch.table(pairs.distinct())
-    info = ("size", "f0", "f1", "f2")
-    x = nodes.select(F.col("node").alias("x"), *(F.col(c).alias(f"x{c}") for c in info))
-    y = nodes.select(F.col("node").alias("y"), *(F.col(c).alias(f"y{c}") for c in info))
-    both = salted_join(pairs, y, "y", key_counts(pairs, "y"), pairs.count()).join(x, "x")
-    apart = sum((F.bit_count(F.col(f"xf{k}").bitwiseXOR(F.col(f"yf{k}"))) for k in range(HASHES)), F.lit(0))
-    out = scratch.table(
-        both.where(F.least("xsize", "ysize") * DENOMINATOR >= F.greatest("xsize", "ysize") * NUMERATOR)
-        .select("x", "y", apart.alias("apart")).where(F.col("apart") <= FAR)
-    )
+    both = salted_join(pairs, _info(nodes, "y"), "y", key_counts(pairs, "y"), pairs.count()).join(_info(nodes, "x"), "x")
+    out = scratch.table(both.where(_allowed("x", "y")).select("x", "y", _apart("x", "y", "f", HASHES).alias("apart")))
     scratch.drop(pairs)
     return out
 
@@ -281,13 +312,13 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> Data
     return out.withColumn(label, F.coalesce(label, node))
 
 
-def _linked(close: DataFrame, links: DataFrame | None, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """All links and labels, after verifying the pairs that would join
-    two groups, the nearest of each node first."""
+def _linked(close: DataFrame, labels: DataFrame | None, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after verifying the pairs that would join two groups, the
+    nearest of each node first."""
+    so_far = lambda: [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
     best = scratch.table(close.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
     found = scratch.table(_verified(best, texts))
-    links = found if links is None else links.unionByName(found)
-    labels = scratch.table(components(links))
+    labels = scratch.table(components(reduce(DataFrame.unionByName, so_far(), found)))
     rest = close.join(best.withColumnRenamed("y", "done"), "x").where("y != done").select("x", "y")
     rest = _labelled(scratch.table(rest), labels, "x", "lx")
     rest = _labelled(scratch.table(rest), labels, "y", "ly").where("lx != ly").select("x", "y")
@@ -295,9 +326,8 @@ def _linked(close: DataFrame, links: DataFrame | None, texts: DataFrame, scratch
     if not rest.isEmpty():
         more = scratch.table(_verified(rest, texts))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = scratch.table(components(links))
-    return links, labels
+            labels = scratch.table(components(reduce(DataFrame.unionByName, so_far(), more)))
+    return labels
 
 
 def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch) -> DataFrame:
@@ -310,16 +340,14 @@ def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch)
 
 
 def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, label`` of all linked nodes, from ``node, size, f0, f1, f2,
-    codes`` and texts by ``row``."""
+    """``node, label`` of all linked nodes, from their sketches and texts
+    by ``row``."""
     total = nodes.count() * len(list(combinations(range(SEGMENTS), JOINED))) * COMBINATIONS ** (JOINED - 1)
     keys = _key_rows(nodes)
     buckets = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     left = scratch.table(salted_join(keys, buckets, "key", buckets, total))
     scratch.drop(buckets)
-    links: DataFrame | None = None
     labels: DataFrame | None = None
-    info = ("size", "f0", "f1", "f2")
     for turn in range(STARS + 2):
         if labels is None:  # the keys of the first segments: most of a large group meets there
             now = left.where(F.col("key") < (1 << 12 * JOINED)).withColumn("label", F.col("node"))
@@ -342,15 +370,19 @@ def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
             pairs = pairs.unionByName(few.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")))
             left = now.where(F.col("n") > SMALL)
         if turn > STARS:  # every pair of members of different groups that the fingerprint allows
-            near = now.select("key", "node", "label").join(nodes.select("node", *info), "node")
-            there = near.select("key", *(F.col(c).alias(f"o{c}") for c in ("node", "label", *info)))
-            apart = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"of{k}"))) for k in range(HASHES)), F.lit(0))
-            pairs = near.join(there, (near["key"] == there["key"]) & (F.col("label") < F.col("olabel")) & (apart <= FAR))
-            pairs = pairs.select("node", F.col("onode").alias("other"))
+            ends = [
+                now.select(F.col("key").alias(f"{p}key"), F.col("node").alias(p), F.col("label").alias(f"{p}label")).join(_info(nodes, p), p)
+                for p in ("x", "y")
+            ]
+            pairs = ends[0].join(ends[1], (F.col("xkey") == F.col("ykey")) & (F.col("xlabel") < F.col("ylabel")) & _allowed("x", "y"))
+            pairs = pairs.select(F.col("x").alias("node"), F.col("y").alias("other"))
         close = _near(pairs.select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")), nodes, scratch)
+        if close.isEmpty():
+            labels = labels if labels is not None else nodes.select("node", F.col("node").alias("label")).limit(0)
+            continue
         touched = Bitmap(close.select(F.explode(F.array("x", "y")).alias("row")).select(F.xxhash64("row").alias("h")), "h")
         held = scratch.table(texts.withColumn("hit", touched.column(F.xxhash64("row"))).where("hit").select("row", "text"))
-        links, labels = _linked(close, links, held, scratch)
+        labels = _linked(close, labels, held, scratch)
         scratch.drop(close, held)
     return labels
 
@@ -369,9 +401,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # copies of a set are combined before the shuffle
     nodes = scratch.table(
         base.groupBy("k1", "k2").agg(
-            F.min(F.struct("row", "size", "f0", "f1", "f2", "codes")).alias("node"),
+            F.min(F.struct("row", *INFO, "codes")).alias("node"),
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"),
-        ).select(F.col("node.row").alias("node"), "node.size", "node.f0", "node.f1", "node.f2", "node.codes", "best")
+        ).select(F.col("node.row").alias("node"), *(f"node.{c}" for c in INFO), "node.codes", "best")
     )
     labels = node_labels(nodes, base.select("row", F.col("doc")[text_col].alias("text")), scratch)
     best = keep.table(
