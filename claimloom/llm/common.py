@@ -22,6 +22,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give freed memory back: workers outlive their tasks, and what the
+    allocators keep of large batches would add up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """The function of an Arrow UDF, with ``trim`` after each batch."""
+
+    def run_and_trim(values: pa.Array) -> pa.Array:
+        out = run(values)
+        trim()
+        return out
+
+    return run_and_trim
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str
 ) -> DataFrame:
@@ -45,6 +68,8 @@ def map_batches(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[x.name], x.type) for x in arrow], schema=arrow
                 )
+        del f
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import map_batches
+from claimloom.llm.common import map_batches, trimmed
 
 #: Words of a window and of a gram; grams of a window.
 WINDOW, GRAM = 10, 5
@@ -262,7 +262,7 @@ def contaminated_column(text: Column | str, benchmark: DataFrame) -> Column:
         def has(texts: pa.Array) -> pa.Array:
             return pa.array([len(x[1]) > 0 for x in scan(texts.to_pylist(), index.value)], pa.bool_())
 
-        return F.arrow_udf(has, "boolean")(text)
+        return F.arrow_udf(trimmed(has), "boolean")(text)
 
     out = F.lit(False)
     for index in indexes(benchmark):

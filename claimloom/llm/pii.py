@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import free, join_spans, map_batches
+from claimloom.llm.common import free, join_spans, map_batches, trimmed
 
 # Patterns of the base kinds and their order.  The
 # look-behind only keeps the search from trying a run of digits again.
@@ -242,6 +242,7 @@ def masked_column(text: Column | str, weights: np.ndarray) -> Column:
     """The text with every found span replaced by its kind (null: null)."""
 
     @F.arrow_udf("string")
+    @trimmed
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():

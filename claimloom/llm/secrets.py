@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import free, join_spans, map_batches
+from claimloom.llm.common import free, join_spans, map_batches, trimmed
 
 # Patterns, shortest lengths and order of the base kinds.
 ASSIGN = re.compile(
@@ -309,6 +309,7 @@ def masked_column(text: Column | str, fitted: Fitted | int, mask: str = "[secret
     """The text with every found span replaced (null: null)."""
 
     @F.arrow_udf("string")
+    @trimmed
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():

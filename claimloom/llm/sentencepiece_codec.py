@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import trim
+
 SPACE = "▁"
 #: Words and segments a task keeps, each (some 200 bytes an entry); beyond
 #: it the older half goes.
@@ -284,6 +286,8 @@ def encode_column(text: Column | str, model_file: str) -> Column:
         t = table(model_file)
         for texts in batches:
             yield _lists(_pack(t, texts))
+        del t
+        trim()
 
     return ids(text)
 
@@ -302,6 +306,8 @@ def coded_column(text: Column | str, model_file: str) -> Column:
                 for p, x in zip(packed, texts.to_pylist())
             ]
             yield pa.StructArray.from_arrays([_lists(packed), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        del t
+        trim()
 
     return coded(text)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Scratch, components, key_counts, map_batches, salted_join, written
+from claimloom.llm.common import Scratch, components, key_counts, map_batches, salted_join, trimmed, written
 
 #: Words of a shingle, hash seed and bits that may differ, by contract.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -78,6 +78,7 @@ def fingerprint_column(text: Column | str) -> Column:
     """Fingerprint of a text column as a signed long (null: zero)."""
 
     @F.arrow_udf("bigint")
+    @trimmed
     def run(texts: pa.Array) -> pa.Array:
         out = np.array([fingerprint(x) for x in texts.to_pylist()], np.uint64)
         return pa.array(out.view(np.int64))

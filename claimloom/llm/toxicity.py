@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import trim
+
 #: Labelled rows of each class that a model is trained on, at most; the
 #: bound on what one task gathers.  Rows are taken in order of a hash.
 ROWS_PER_CLASS = 2_500
@@ -289,6 +291,8 @@ def score_column(text: Column | str, model: Model, spark) -> Column:
         mine = Model(share, bias)  # its word table goes with the task
         for texts in batches:
             yield pa.array(mine.scores(texts.to_pylist()), pa.float64())
+        del mine
+        trim()
 
     return run(text)
 
