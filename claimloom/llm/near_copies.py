@@ -10,8 +10,12 @@ majority.  The bits that differ are nearly always those of small
 majorities, so two near copies share a codeword in 85 % of the segments
 at 0.8.  Keys join the codewords of two segments (15 pairs, the ten best
 combinations of each): by the pigeonhole principle a pair is found
-unless four codewords are missed in five of the six segments.  Measured,
-7 pairs in 10,000 at exactly 0.8 are missed and none in 3,000 at 0.85.
+unless codewords are missed in five of the six segments.  Simulated with
+200 shingles a text, 50 of 6,000 pairs at 0.8 share no key, 3 of 3,000 at
+0.85 and none of 2,000 at 0.9.
+Keys also hold the power of two below a size; a size whose 5/4 passes the
+next power has its keys there, too, so sizes that allow 0.8 always share
+one.
 Candidates are filtered by the whole fingerprint and by a bitmap of the
 hashes that occur (which bounds the shingles that differ from below, so
 it is exact), then verified on the texts' whole shingle sets.
@@ -27,9 +31,10 @@ sketches allow.  So a large group of near copies takes rows in
 proportion to its size, and no candidate that could join two groups is
 left out.
 
-A random pair shares a key with a chance of 1 in 11,000: candidates that
-the fingerprint must reject grow with the square of the corpus.  Above
-some 10^8 texts keys should join three segments (``JOINED``).
+A random pair of like sizes shares a key with a chance of 1 in 11,000:
+candidates that the fingerprint must reject grow with the square of the
+corpus.  Keys of three segments (``JOINED``) would end that but lose
+pairs: 1,251 of 6,000 at 0.8 with ten combinations, 186 with forty.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Bitmap, Scratch, components, key_counts, map_batches, salted_join
+from claimloom.llm.common import Bitmap, Scratch, components, key_counts, map_batches, salted_join, trimmed
 from claimloom.llm.simhash import LOWER, syndrome_of, syndromes
 
 #: Words of a shingle; similarity NUMERATOR / DENOMINATOR.
@@ -52,6 +57,8 @@ HASHES, BITS = 3, 23
 SEGMENTS = 2 * HASHES
 #: Codewords of a segment; segments of a key, and keys of each choice.
 NEAREST, JOINED, COMBINATIONS = 4, 2, 10
+#: Bits of a key that hold the class of a size.
+CLASS = 6
 #: Bits that may differ: 21 are expected at 0.8, with a deviation of 4.
 FAR = 38
 #: Words of 64 marks: bits of the hashes that occur.  Marks of two sets
@@ -161,12 +168,19 @@ def decode(major: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, costs
 
 
-def keys_of(codes: np.ndarray, costs: np.ndarray) -> np.ndarray:
-    """Keys of texts (texts x SEGMENTS x NEAREST): the cheapest choices of
-    a codeword in each of JOINED segments."""
+def classes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of sizes (floor of the logarithm to base two) and of the
+    largest sizes that similar sets can have: the same or the next."""
+    power = lambda n: np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    return power(sizes), power(sizes.astype(np.int64) * DENOMINATOR // NUMERATOR)
+
+
+def keys_of(codes: np.ndarray, costs: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Keys of texts (texts x SEGMENTS x NEAREST) in classes of sizes: the
+    cheapest choices of a codeword in each of JOINED segments."""
     out = []
     for number, chosen in enumerate(combinations(range(SEGMENTS), JOINED)):
-        key = np.full((len(codes), 1), number, np.int64)
+        key = number << CLASS | power[:, None]
         cost = np.zeros((len(codes), 1), np.int64)
         for g in chosen:
             key = (key[:, :, None] << 12 | codes[:, g, None, :]).reshape(len(codes), -1)
@@ -198,6 +212,7 @@ def _sketch(text: Column | str) -> Column:
     longs = ", ".join(f"{c} bigint" for c in INFO[1:])
 
     @F.arrow_udf(f"k1 bigint, k2 bigint, size int, {longs}, codes array<bigint>")
+    @trimmed
     def run(texts: pa.Array) -> pa.Array:
         import xxhash
 
@@ -231,12 +246,15 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
             packed = np.asarray(batch.column(1).flatten()).reshape(-1, SEGMENTS, NEAREST)
-            keys = keys_of(packed & 4095, packed >> 12)
-            return {"key": keys.ravel(), "node": np.repeat(batch.column(0).to_numpy(), keys.shape[1])}
+            low, high = classes(batch.column(2).to_numpy())
+            rows = np.concatenate([np.arange(len(low)), np.flatnonzero(high > low)])
+            packed = packed[rows]
+            keys = keys_of(packed & 4095, packed >> 12, np.concatenate([low, high[high > low]]))
+            return {"key": keys.ravel(), "node": np.repeat(batch.column(0).to_numpy()[rows], keys.shape[1])}
 
         return run
 
-    return map_batches(nodes.where("size > 0").select("node", "codes"), make, "key bigint, node bigint")
+    return map_batches(nodes.where("size > 0").select("node", "codes", "size"), make, "key bigint, node bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -342,7 +360,7 @@ def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch)
 def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` of all linked nodes, from their sketches and texts
     by ``row``."""
-    total = nodes.count() * len(list(combinations(range(SEGMENTS), JOINED))) * COMBINATIONS ** (JOINED - 1)
+    total = 2 * nodes.count() * len(list(combinations(range(SEGMENTS), JOINED))) * COMBINATIONS ** (JOINED - 1)
     keys = _key_rows(nodes)
     buckets = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     left = scratch.table(salted_join(keys, buckets, "key", buckets, total))
@@ -350,7 +368,7 @@ def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     labels: DataFrame | None = None
     for turn in range(STARS + 2):
         if labels is None:  # the keys of the first segments: most of a large group meets there
-            now = left.where(F.col("key") < (1 << 12 * JOINED)).withColumn("label", F.col("node"))
+            now = left.where(F.col("key") < (1 << 12 * JOINED + CLASS)).withColumn("label", F.col("node"))
         else:
             now = left = _mixed(left.select("key", "node", "n"), labels, total, scratch)
             if now.isEmpty():

@@ -57,3 +57,15 @@ def test_repeated_rows_and_none(spark):
     d = docs(spark, [(1, "a b c d e"), (1, "a b c d e"), (2, "q r s t u v w")])
     assert sorted(r.doc_id for r in near_copies.keep_one(d).collect()) == [1, 2]
     assert near_copies.keep_one(none(spark)).isEmpty()
+
+
+def test_similar_sizes_share_a_class():
+    import numpy as np
+
+    sizes = np.arange(1, 3000)
+    low, high = near_copies.classes(sizes)
+    assert set((high - low).tolist()) == {0, 1}
+    for a in sizes.tolist():
+        b = np.arange(a, a * 5 // 4 + 1)
+        mine, theirs = {low[a - 1], high[a - 1]}, near_copies.classes(b)[0]
+        assert all(t in mine for t in theirs.tolist())
