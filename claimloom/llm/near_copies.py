@@ -3,21 +3,21 @@
 The general form of ``simhash``: shingles of five words, texts linked at
 a Jaccard similarity of 0.8 or more of their shingle sets.  At 0.8 some
 15 % of the bits of two fingerprints differ, so fixed radii of a few bits
-reach nothing and the Golay code is used with soft decisions: a
-fingerprint has six segments of 23 bits, and each segment is decoded to
-the four codewords nearest to it where a bit weighs as much as its
-majority.  The bits that differ are nearly always those of small
-majorities, so two near copies share a codeword in 85 % of the segments
-at 0.8.  Keys join the codewords of two segments (15 pairs, the ten best
-combinations of each): by the pigeonhole principle a pair is found
-unless codewords are missed in five of the six segments.  Simulated with
-200 shingles a text, 50 of 6,000 pairs at 0.8 share no key, 3 of 3,000 at
-0.85 and none of 2,000 at 0.9.
+reach nothing and the Golay code is used with soft decisions: twelve
+segments of 23 bits are each decoded to the four codewords nearest to
+them where a bit weighs as much as its majority.  The bits that differ
+are nearly always those of small majorities, so two near copies share a codeword in
+85 % of the segments at 0.8.  Keys join the codewords of two segments,
+the twelve best combinations of each of six pairs that have no segment in
+common: 72 keys.  Simulated with 200 shingles a text, 12 of 2,000 pairs
+at 0.8 share no key, 1 at 0.85 and none at 0.9.
 Keys also hold the power of two below a size; a size whose 5/4 passes the
 next power has its keys there, too, so sizes that allow 0.8 always share
 one.
-Candidates are filtered by the whole fingerprint and by a bitmap of the
-hashes that occur (which bounds the shingles that differ from below, so
+Rows of keys carry 64 bits of the fingerprint, so most candidates are
+rejected where they meet, before any shuffle: a bucket of two by the
+exclusive or of its members' bits.  The others are filtered by the whole
+fingerprint and by a bitmap of the hashes that occur (which bounds the shingles that differ from below, so
 it is exact), then verified on the texts' whole shingle sets.
 
 Equal sets are one node.  First the buckets of one pair of segments link
@@ -31,10 +31,9 @@ sketches allow.  So a large group of near copies takes rows in
 proportion to its size, and no candidate that could join two groups is
 left out.
 
-A random pair of like sizes shares a key with a chance of 1 in 11,000:
-candidates that the fingerprint must reject grow with the square of the
-corpus.  Keys of three segments (``JOINED``) would end that but lose
-pairs: 1,251 of 6,000 at 0.8 with ten combinations, 186 with forty.
+A random pair of like sizes shares a key with a chance of 1 in 19,000:
+comparisons of 64 bits within buckets grow with the square of the corpus,
+rows that leave them by a 250th of that.
 """
 
 from __future__ import annotations
@@ -53,24 +52,31 @@ from claimloom.llm.simhash import LOWER, syndrome_of, syndromes
 #: Words of a shingle; similarity NUMERATOR / DENOMINATOR.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Words of hash bits; bits of a segment, two of which lie in a word.
-HASHES, BITS = 3, 23
+HASHES, BITS = 6, 23
 SEGMENTS = 2 * HASHES
 #: Codewords of a segment; segments of a key, and keys of each choice.
-NEAREST, JOINED, COMBINATIONS = 4, 2, 10
+NEAREST, JOINED, COMBINATIONS = 4, 2, 12
+#: Keys of a text in one class of sizes.
+KEYS = SEGMENTS // JOINED * COMBINATIONS
 #: Bits of a key that hold the class of a size.
 CLASS = 6
-#: Bits that may differ: 21 are expected at 0.8, with a deviation of 4.
-FAR = 38
+#: Words whose bits are the fingerprint, and bits of it that may differ:
+#: 21 are expected at 0.8, with a deviation of 4.
+WORDS, FAR = 3, 38
+#: The same of the 64 bits that rows of keys carry: 10, deviation 3.
+FAR_SHORT = 21
 #: Words of 64 marks: bits of the hashes that occur.  Marks of two sets
 #: that differ are no more than the shingles that do.
 MARKS = 16
-INFO = ("size", *(f"f{k}" for k in range(HASHES)), *(f"m{k}" for k in range(MARKS)))
+INFO = ("size", *(f"f{k}" for k in range(WORDS)), *(f"m{k}" for k in range(MARKS)))
 #: Members of a bucket that are compared pair by pair at once.
 SMALL = 16
 #: Rounds of centres before larger buckets are compared in full.
 STARS = 1
 #: Shingles of texts that a worker keeps while it verifies.
 KEPT = 1_000_000
+#: Odd factors that make HASHES words of a shingle's hash.
+MULTIPLIERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1 for k in range(HASHES))
 #: Blocks of 255 shingles, and rows of segments, that are worked on at once.
 BLOCKS, ROWS = 128, 4_096
 
@@ -114,7 +120,7 @@ def majorities(sets: list[np.ndarray]) -> np.ndarray:
         s = starts[at : at + BLOCKS]
         end = starts[at + BLOCKS] if at + BLOCKS < len(starts) else len(flat)
         h = flat[s[0] : end]
-        x = np.stack([h * np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)], axis=1)
+        x = np.stack([h * np.uint64(m) for m in MULTIPLIERS], axis=1)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(29)
@@ -177,15 +183,16 @@ def classes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def keys_of(codes: np.ndarray, costs: np.ndarray, power: np.ndarray) -> np.ndarray:
     """Keys of texts (texts x SEGMENTS x NEAREST) in classes of sizes: the
-    cheapest choices of a codeword in each of JOINED segments."""
+    cheapest choices of a codeword in each of JOINED segments, which no
+    other choice uses."""
     out = []
-    for number, chosen in enumerate(combinations(range(SEGMENTS), JOINED)):
+    for number in range(SEGMENTS // JOINED):
         key = number << CLASS | power[:, None]
         cost = np.zeros((len(codes), 1), np.int64)
-        for g in chosen:
+        for g in range(JOINED * number, JOINED * (number + 1)):
             key = (key[:, :, None] << 12 | codes[:, g, None, :]).reshape(len(codes), -1)
             cost = (cost[:, :, None] + costs[:, g, None, :]).reshape(len(codes), -1)
-        best = np.argsort(cost, axis=1, kind="stable")[:, : COMBINATIONS ** (JOINED - 1)]
+        best = np.argsort(cost, axis=1, kind="stable")[:, :COMBINATIONS]
         out.append(np.take_along_axis(key, best, 1))
     return np.concatenate(out, axis=1)
 
@@ -207,11 +214,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _sketch(text: Column | str) -> Column:
     """Struct of the set's 128-bit digest and size, the fingerprint in
-    three words, marks, and codewords with costs (none if the set is
+    words, marks, and codewords with costs (none if the set is
     empty)."""
     longs = ", ".join(f"{c} bigint" for c in INFO[1:])
 
-    @F.arrow_udf(f"k1 bigint, k2 bigint, size int, {longs}, codes array<bigint>")
+    @F.arrow_udf(f"k1 bigint, k2 bigint, size int, {longs}, codes array<int>")
     @trimmed
     def run(texts: pa.Array) -> pa.Array:
         import xxhash
@@ -220,18 +227,18 @@ def _sketch(text: Column | str) -> Column:
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         full = [k for k, s in enumerate(sets) if len(s)]
         marks = marks_of(sets)
-        prints = np.zeros((len(sets), HASHES), np.int64)
-        packed = np.zeros((0, SEGMENTS * NEAREST), np.int64)
+        prints = np.zeros((len(sets), WORDS), np.int64)
+        packed = np.zeros((0, SEGMENTS * NEAREST), np.int32)
         if full:
             major = majorities([sets[k] for k in full])
-            prints[full] = (major > 0).reshape(len(full), HASHES, 2 * BITS) @ (1 << np.arange(2 * BITS))
+            prints[full] = (major[:, : 2 * WORDS] > 0).reshape(len(full), WORDS, 2 * BITS) @ (1 << np.arange(2 * BITS))
             codes, costs = decode(major.reshape(-1, BITS))
-            packed = (costs << 12 | codes).reshape(len(full), -1)
+            packed = (np.minimum(costs, (1 << 19) - 1) << 12 | codes).astype(np.int32).reshape(len(full), -1)
         counts = np.zeros(len(sets), np.int32)
         counts[full] = packed.shape[1]
         return pa.StructArray.from_arrays(
             [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])),
-             pa.array(list(map(len, sets)), pa.int32()), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(HASHES)),
+             pa.array(list(map(len, sets)), pa.int32()), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WORDS)),
              *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS)),
              pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(packed.ravel()))],
             ["k1", "k2", *INFO, "codes"],
@@ -241,20 +248,32 @@ def _sketch(text: Column | str) -> Column:
 
 
 def _key_rows(nodes: DataFrame) -> DataFrame:
-    """``key, node`` of all keys."""
+    """``key, node, short`` of all keys, with 64 bits of the fingerprint
+    from segments that the key does not hold."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-            packed = np.asarray(batch.column(1).flatten()).reshape(-1, SEGMENTS, NEAREST)
+            packed = np.asarray(batch.column(1).flatten()).astype(np.int64).reshape(-1, SEGMENTS, NEAREST)
             low, high = classes(batch.column(2).to_numpy())
+            f = [batch.column(3 + k).to_numpy() for k in range(WORDS)]
+            # a key's members agree in the bits that it comes from: others tell them apart
+            short = np.stack([a | b << 2 * BITS for a, b in ((f[1], f[2]), (f[0], f[2]), *[(f[0], f[1])] * (HASHES - 2))], 1)
             rows = np.concatenate([np.arange(len(low)), np.flatnonzero(high > low)])
             packed = packed[rows]
             keys = keys_of(packed & 4095, packed >> 12, np.concatenate([low, high[high > low]]))
-            return {"key": keys.ravel(), "node": np.repeat(batch.column(0).to_numpy()[rows], keys.shape[1])}
+            node = np.repeat(batch.column(0).to_numpy()[rows], keys.shape[1])
+            return {"key": keys.ravel(), "node": node, "short": np.repeat(short[rows], COMBINATIONS, axis=1).ravel()}
 
         return run
 
-    return map_batches(nodes.where("size > 0").select("node", "codes", "size"), make, "key bigint, node bigint")
+    rows = nodes.where("size > 0").select("node", "codes", "size", *(f"f{k}" for k in range(WORDS)))
+    return map_batches(rows, make, "key bigint, node bigint, short bigint")
+
+
+def _like(x: Column | str, y: Column | str) -> Column:
+    """Whether the bits that rows of keys carry allow the similarity."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.bit_count(x.bitwiseXOR(y)) <= FAR_SHORT
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -304,7 +323,7 @@ def _allowed(x: str, y: str) -> Column:
     return (
         (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR)
         & (_apart(x, y, "m", MARKS) * (NUMERATOR + DENOMINATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
-        & (_apart(x, y, "f", HASHES) <= FAR)
+        & (_apart(x, y, "f", WORDS) <= FAR)
     )
 
 
@@ -317,7 +336,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     the fingerprints that differ."""
     pairs = scratch.table(pairs.distinct())
     both = salted_join(pairs, _info(nodes, "y"), "y", key_counts(pairs, "y"), pairs.count()).join(_info(nodes, "x"), "x")
-    out = scratch.table(both.where(_allowed("x", "y")).select("x", "y", _apart("x", "y", "f", HASHES).alias("apart")))
+    out = scratch.table(both.where(_allowed("x", "y")).select("x", "y", _apart("x", "y", "f", WORDS).alias("apart")))
     scratch.drop(pairs)
     return out
 
@@ -349,7 +368,7 @@ def _linked(close: DataFrame, labels: DataFrame | None, texts: DataFrame, scratc
 
 
 def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """``key, node, n, label`` of the buckets with members of several
+    """``key, node, short, n, label`` of the buckets with members of several
     groups."""
     now = scratch.table(_labelled(members, labels, "node", "label"))
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
@@ -360,9 +379,11 @@ def _mixed(members: DataFrame, labels: DataFrame, total: int, scratch: Scratch)
 def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` of all linked nodes, from their sketches and texts
     by ``row``."""
-    total = 2 * nodes.count() * len(list(combinations(range(SEGMENTS), JOINED))) * COMBINATIONS ** (JOINED - 1)
+    total = 2 * nodes.count() * KEYS
     keys = _key_rows(nodes)
-    buckets = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("short").alias("apart"))
+    alike = (F.col("n") > 2) | (F.bit_count("apart") <= FAR_SHORT)  # of two members, the bits that differ
+    buckets = scratch.table(buckets.where((F.col("n") > 1) & alike).select("key", "n"))
     left = scratch.table(salted_join(keys, buckets, "key", buckets, total))
     scratch.drop(buckets)
     labels: DataFrame | None = None
@@ -370,30 +391,31 @@ def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
         if labels is None:  # the keys of the first segments: most of a large group meets there
             now = left.where(F.col("key") < (1 << 12 * JOINED + CLASS)).withColumn("label", F.col("node"))
         else:
-            now = left = _mixed(left.select("key", "node", "n"), labels, total, scratch)
+            now = left = _mixed(left.select("key", "node", "short", "n"), labels, total, scratch)
             if now.isEmpty():
                 break
         if turn <= STARS:  # a centre for each bucket: the largest groups have small labels
             order = F.col("label") if turn < 2 else F.xxhash64("node", F.lit(turn))
             centre = now.groupBy("key").agg(
-                F.min(F.struct(order.alias("o"), "node", "label")).alias("c"), F.count("*").alias("n")
+                F.min(F.struct(order.alias("o"), "node", "label", "short")).alias("c"), F.count("*").alias("n")
             )
-            other = centre.select("key", F.col("c.node").alias("other"), F.col("c.label").alias("ol"))
+            other = centre.select("key", F.col("c.node").alias("other"), F.col("c.label").alias("ol"), F.col("c.short").alias("os"))
             pairs = salted_join(now.drop("n"), other, "key", centre.select("key", "n"), total)
-            pairs = pairs.where("label != ol").select("node", "other")
+            pairs = pairs.where((F.col("label") != F.col("ol")) & _like("short", "os")).select("node", "other")
         if turn == 1:  # small buckets hold at most SMALL nodes each
             few = now.where((F.col("n") > 2) & (F.col("n") <= SMALL))
-            few = few.groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m")).select(F.explode("m").alias("a"), "m")
-            few = few.select("a", F.explode(F.filter("m", lambda y: (y["node"] < F.col("a.node")) & (y["label"] != F.col("a.label")))).alias("b"))
+            few = few.groupBy("key").agg(F.collect_list(F.struct("node", "label", "short")).alias("m")).select(F.explode("m").alias("a"), "m")
+            few = few.select("a", F.explode(F.filter("m", lambda y: (y["node"] < F.col("a.node")) & (y["label"] != F.col("a.label")) & _like(y["short"], "a.short"))).alias("b"))
             pairs = pairs.unionByName(few.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")))
             left = now.where(F.col("n") > SMALL)
         if turn > STARS:  # every pair of members of different groups that the fingerprint allows
             ends = [
-                now.select(F.col("key").alias(f"{p}key"), F.col("node").alias(p), F.col("label").alias(f"{p}label")).join(_info(nodes, p), p)
+                now.select(F.col("key").alias(f"{p}key"), F.col("node").alias(p), F.col("label").alias(f"{p}label"),
+                           F.col("short").alias(f"{p}short"))
                 for p in ("x", "y")
             ]
-            pairs = ends[0].join(ends[1], (F.col("xkey") == F.col("ykey")) & (F.col("xlabel") < F.col("ylabel")) & _allowed("x", "y"))
-            pairs = pairs.select(F.col("x").alias("node"), F.col("y").alias("other"))
+            of_two = (F.col("xkey") == F.col("ykey")) & (F.col("xlabel") < F.col("ylabel")) & _like("xshort", "yshort")
+            pairs = ends[0].join(ends[1], of_two).select(F.col("x").alias("node"), F.col("y").alias("other"))
         close = _near(pairs.select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")), nodes, scratch)
         if close.isEmpty():
             labels = labels if labels is not None else nodes.select("node", F.col("node").alias("label")).limit(0)
