@@ -451,5 +451,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("best").alias("best"))
         .select(F.col("best.row").alias("row"))
     )
+    # those that go are fewer than those that stay: texts move only if Spark finds them too many to broadcast
+    gone = keep.table(base.select("row").join(best, "row", "left_anti"))
     scratch.drop()
-    return base.join(best, "row", "left_semi").select("doc.*")
+    return base.join(gone, "row", "left_anti").select("doc.*")
