@@ -3,6 +3,7 @@ bitmaps, labels of connected components, spans."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -130,6 +131,13 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when
+    the driver's garbage is collected, which may else take the whole run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a compressed table in the shared folder, a fraction
     of a checkpoint's size for many rows."""

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Bitmap, Scratch, components, key_counts, map_batches, salted_join, trimmed
+from claimloom.llm.common import Bitmap, Scratch, collect_garbage, components, key_counts, map_batches, salted_join, trimmed
 from claimloom.llm.simhash import LOWER, syndrome_of, syndromes
 
 #: Words of a shingle; similarity NUMERATOR / DENOMINATOR.
@@ -341,6 +341,21 @@ def _near(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _across(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``_near``, of all members of a bucket in different groups.  The
+    members bring their whole sketches, so that a pair that these reject
+    is never a row."""
+    told = scratch.table(members.select("key", "node", "label", "short").join(nodes.select("node", *INFO), "node"))
+    x, y = (told.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("key", "label", "short", *INFO))) for p in ("x", "y"))
+    of_two = (F.col("xkey") == F.col("ykey")) & (F.col("xlabel") < F.col("ylabel")) & _like("xshort", "yshort") & _allowed("x", "y")
+    out = scratch.table(
+        x.join(y, of_two).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), _apart("x", "y", "f", WORDS).alias("apart"))
+        .distinct()
+    )
+    scratch.drop(told)
+    return out
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
     """Rows with the label of a node that may be hot (its own without a
     link)."""
@@ -408,15 +423,10 @@ def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
             few = few.select("a", F.explode(F.filter("m", lambda y: (y["node"] < F.col("a.node")) & (y["label"] != F.col("a.label")) & _like(y["short"], "a.short"))).alias("b"))
             pairs = pairs.unionByName(few.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")))
             left = now.where(F.col("n") > SMALL)
-        if turn > STARS:  # every pair of members of different groups that the fingerprint allows
-            ends = [
-                now.select(F.col("key").alias(f"{p}key"), F.col("node").alias(p), F.col("label").alias(f"{p}label"),
-                           F.col("short").alias(f"{p}short"))
-                for p in ("x", "y")
-            ]
-            of_two = (F.col("xkey") == F.col("ykey")) & (F.col("xlabel") < F.col("ylabel")) & _like("xshort", "yshort")
-            pairs = ends[0].join(ends[1], of_two).select(F.col("x").alias("node"), F.col("y").alias("other"))
-        close = _near(pairs.select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")), nodes, scratch)
+        if turn > STARS:
+            close = _across(now, nodes, scratch)
+        else:
+            close = _near(pairs.select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")), nodes, scratch)
         if close.isEmpty():
             labels = labels if labels is not None else nodes.select("node", F.col("node").alias("label")).limit(0)
             continue
@@ -424,6 +434,7 @@ def node_labels(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
         held = scratch.table(texts.withColumn("hit", touched.column(F.xxhash64("row"))).where("hit").select("row", "text"))
         labels = _linked(close, labels, held, scratch)
         scratch.drop(close, held)
+        collect_garbage(nodes.sparkSession)
     return labels
 
 
@@ -445,6 +456,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"),
         ).select(F.col("node.row").alias("node"), *(f"node.{c}" for c in INFO), "node.codes", "best")
     )
+    collect_garbage(docs.sparkSession)
     labels = node_labels(nodes, base.select("row", F.col("doc")[text_col].alias("text")), scratch)
     best = keep.table(
         nodes.select("node", "best").join(labels, "node", "left")

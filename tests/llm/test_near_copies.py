@@ -69,3 +69,26 @@ def test_similar_sizes_share_a_class():
         b = np.arange(a, a * 5 // 4 + 1)
         mine, theirs = {low[a - 1], high[a - 1]}, near_copies.classes(b)[0]
         assert all(t in mine for t in theirs.tolist())
+
+
+def test_common_passage_makes_no_rows_for_pairs(spark, monkeypatch):
+    """Texts of which half is one passage meet in large buckets; what the
+    sketches reject must be rejected there, not in rows of pairs."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    shared = [word() for _ in range(120)]
+    docs = [(i, " ".join(shared + [word() for _ in range(70)])) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(0, 300, 10)]
+    monkeypatch.setattr(near_copies, "SMALL", 2)  # all buckets but pairs are compared in full
+    counts, real = [], near_copies._near
+
+    def counted(pairs, nodes, scratch):
+        counts.append(pairs.count())
+        return real(pairs, nodes, scratch)
+
+    monkeypatch.setattr(near_copies, "_near", counted)
+    kept = near_copies.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert max(counts) < 30 * len(docs)  # 19,677 when all pairs were rows
