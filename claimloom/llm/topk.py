@@ -2,17 +2,19 @@
 
 Vectors become sparse integer rows: a term is a component, its weight
 floor(64 * x).  Candidates are kept as postings, term by term: the rows
-that hold the term and their weights.  For a block of queries a dense
-score array (candidates x queries) is filled posting by posting - each
-term scatters candidate weight times query weight - and nothing is
-pruned, so scores are exact.  Each query then selects its best of the
-block (ties to the smaller id), and a window over the blocks' selections
-merges them.
-
-Rows are dealt evenly into blocks of bounded size, whatever their ids;
-every block of queries meets every block of candidates once, and a pair
-of blocks returns at most k + 1 rows for each query.  Weights and sums
-are held in 32 bits where they fit, else in 64, else as Python integers.
+that hold the term and their weights (a term that most rows hold has a
+weight for all).  For some queries of a block a dense score array
+(queries x candidates) is filled posting by posting - each term scatters
+candidate weight times query weight - and nothing is pruned, so scores
+are exact.  Each query selects its best of the block (ties to the smaller
+id), a task merges them from block to block, and a window over the parts'
+selections merges those.
+
+Rows are dealt evenly into a bounded number of parts and packed into
+blocks of bounded size, whatever their ids; every block of queries meets
+every block of candidates once, in the task of their two parts, which
+returns at most k + 1 rows for each query.  Weights and sums are held in
+as many bits as they need, up to Python integers.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from claimloom.llm.common import Scratch, bounded_batches
 
 #: Candidates and queries in a block.
 CANDIDATES, QUERIES = 8_192, 256
+#: Parts of the candidates and of the queries at most; queries scored at once.
+PARTS, GROUPS, TILE = 8, 256, 8
 #: A weight is the floor of this many times a component.
 FACTOR = 64.0
 
@@ -75,8 +79,8 @@ def weights(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def packed(rows: np.ndarray) -> tuple[str, int, bytes]:
     """Kind, width and bytes of a block's weights."""
     if rows.dtype != object:
-        small = not rows.size or (int(rows.min()) >= -(2**31) and int(rows.max()) < 2**31)
-        kind = "int32" if small else "int64"
+        ends = [int(rows.min()), int(rows.max())] if rows.size else [0, 0]
+        kind = next(x for x in ("int8", "int16", "int32", "int64") if all(np.iinfo(x).min <= e <= np.iinfo(x).max for e in ends))
         return kind, rows.shape[1], rows.astype(kind).tobytes()
     return "text", rows.shape[1], " ".join(map(str, rows.ravel().tolist())).encode()
 
@@ -88,33 +92,91 @@ def unpacked(kind: str, width: int, data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(n, width)
 
 
-def postings(dense: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per term: the rows that hold it and their weights."""
-    out = []
-    for t in range(dense.shape[1]):
-        at = np.flatnonzero(dense[:, t])
-        out.append((at, dense[at, t]))
-    return out
+class Candidates:
+    """A block of candidates by id: per term the rows that hold it and
+    their weights (all rows, where most do)."""
+
+    def __init__(self, row: dict):
+        ids = np.frombuffer(row["ids"], np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.dense = unpacked(row["kind"], row["width"], row["weights"], len(ids))[order]
+        self.peaks = [_peak(self.dense[:, t]) for t in range(self.dense.shape[1])]
+        self.made: dict[type, list[tuple[np.ndarray | None, np.ndarray]]] = {}
+
+    def postings(self, kind: type) -> list[tuple[np.ndarray | None, np.ndarray]]:
+        if kind not in self.made:
+            self.made[kind] = out = []
+            for t in range(self.dense.shape[1]):
+                w = self.dense[:, t].astype(kind)
+                at = np.flatnonzero(w)
+                out.append((None, w) if 4 * len(at) > len(w) else (at, w[at]))
+        return self.made[kind]
 
 
-def accumulate(queries: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Dense scores, candidates by queries, in the smallest kind that no
-    sum can leave; scores outside a long are held at its ends."""
-    width = queries.shape[1]
-    q = queries.T
-    peak = lambda x: max(abs(int(x.max())), abs(int(x.min())))
-    bound = sum(peak(q[t]) * peak(w) for t, (at, w) in enumerate(index[:width]) if len(at))
+def _peak(x: np.ndarray) -> int:
+    return max(abs(int(x.max())), abs(int(x.min()))) if len(x) else 0
+
+
+def accumulate(queries: np.ndarray, candidates: Candidates) -> Iterator[tuple[int, np.ndarray]]:
+    """Dense scores of a few queries at a time (number of the first,
+    queries by candidates), in the smallest kind that no sum can leave;
+    scores outside a long are held at its ends."""
+    n, width = len(candidates.ids), min(queries.shape[1], candidates.dense.shape[1])
+    bound = sum(_peak(queries[:, t]) * candidates.peaks[t] for t in range(width))
     kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
-    scores = np.zeros((n, len(queries)), kind)
-    q = q.astype(kind)
-    for t, (at, w) in enumerate(index[:width]):
-        if len(at) == n:
-            scores += w.astype(kind)[:, None] * q[t]
-        elif len(at):
-            scores[at] += w.astype(kind)[:, None] * q[t]
-    if kind is object:
-        scores = np.clip(scores, -(2**63), 2**63 - 1)
-    return scores.astype(np.int64)
+    index = candidates.postings(kind)[:width]
+    q = queries.astype(kind)
+    product = np.empty((TILE, n), kind)
+    for j in range(0, len(q), TILE):
+        part = q[j : j + TILE]
+        scores = np.zeros((len(part), n), kind)
+        for t, (at, w) in enumerate(index):
+            if at is None:
+                scores += np.multiply(part[:, t, None], w, out=product[: len(part)])
+            elif len(at):
+                scores[:, at] += part[:, t, None] * w
+        if kind is object:
+            scores = np.clip(scores, -(2**63), 2**63 - 1).astype(np.int64)
+        yield j, scores
+
+
+class Best:
+    """The best rows so far of a block of queries: of each the scores, ids
+    and whether a row is the query's own, by score, then id."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, k: int):
+        self.ids, self.weights, self.k = ids, weights, k
+        none = np.zeros(0, np.int64)
+        self.best = [(none, none, none.astype(bool))] * len(ids)
+
+    def meet(self, candidates: Candidates) -> None:
+        for first, scores in accumulate(self.weights, candidates):
+            for j, (s, top) in enumerate(zip(scores, scores.max(1).tolist()), first):
+                held = self.best[j][0]
+                if len(held) < self.k or top >= held[-1]:
+                    self._merge(j, s, candidates)
+
+    def _merge(self, j: int, scores: np.ndarray, candidates: Candidates) -> None:
+        held, ids, own = self.best[j]
+        at = np.flatnonzero(scores >= held[-1]) if len(held) == self.k else np.arange(len(scores))
+        at = at[select(scores[at], self.k)]
+        same = candidates.ids[at] == self.ids[j]
+        width = min(candidates.dense.shape[1], self.weights.shape[1])
+        for i in np.flatnonzero(same).tolist():  # equal weights, too
+            x, q = candidates.dense[at[i]], self.weights[j]
+            same[i] = bool((x[:width] == q[:width]).all() and not x[width:].any() and not q[width:].any())
+        s = np.concatenate([held, scores[at].astype(np.int64)])
+        ids, own = np.concatenate([ids, candidates.ids[at]]), np.concatenate([own, same])
+        order = np.lexsort((ids, ~s))  # the complement reverses the order of all longs
+        self.best[j] = tuple(x[order[: self.k]] for x in (s, ids, own))
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        n = np.fromiter((len(b[0]) for b in self.best), np.int64, len(self.best))
+        number = np.repeat(np.arange(len(n)), n)
+        scores, ids, own = (np.concatenate(x) for x in zip(*self.best))
+        columns = [np.full(len(number), block), number, self.ids[number], ids, scores, own]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "number", "query_id", "vec_id", "score", "own"])
 
 
 def select(scores: np.ndarray, k: int) -> np.ndarray:
@@ -126,8 +188,9 @@ def select(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == cut)[: k - len(above)]])
 
 
-def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """Rows dealt evenly and packed: ids and weights of at most ``size``."""
+def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
+    """Rows dealt evenly to parts and packed: ids and weights of at most
+    ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -156,7 +219,7 @@ def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
         if n:
             yield block()
 
-    dealt = rows.where("id is not null").repartition(max(1, -(-count // size)))
+    dealt = rows.where("id is not null").repartition(parts)
     return dealt.mapInArrow(run, "ids binary, weights binary, kind string, width int")
 
 
@@ -178,44 +241,29 @@ def top_k(
     q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
     c = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
     n_queries, n = q.count(), c.count()
-    # as many cells as make a few pairs of blocks each; a block of candidates lies in one
-    cells = max(1, -(-n // CANDIDATES))
     bounded_batches(spark)
-    left = _blocks(c, CANDIDATES, n).withColumn("cell", F.pmod(F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(cells)).cast("int"))
+    # parts of both sides are few however many blocks there are: their pairs are tasks
+    parts, groups = (max(1, min(most, -(-rows // size))) for most, rows, size in ((PARTS, n, CANDIDATES), (GROUPS, n_queries, QUERIES)))
+    left = _blocks(c, CANDIDATES, parts)
     # written, so that a block's number does not depend on a retry
-    asked = Scratch(spark).table(_blocks(q, QUERIES, n_queries).withColumn("block", F.monotonically_increasing_id()))
-    right = asked.select(
-        "block", *(F.col(x).alias(f"q{x}") for x in ("ids", "weights", "kind", "width")),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
-    )
-    # pairs meet in the cell; a round-robin deal evens them out again
-    pairs = right.join(left, "cell").repartition(max(1, cells * -(-n_queries // QUERIES)))
+    asked = Scratch(spark).table(_blocks(q, QUERIES, groups).withColumn("block", F.monotonically_increasing_id()))
+    right = asked.select("block", *(F.col(x).alias(f"q{x}") for x in ("ids", "weights", "kind", "width"))).repartition(groups)
+    # partitions meet in pairs, blocks in the tasks: no pair of blocks is written, collected or broadcast
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "number", "query_id", "vec_id", "score", "own"]
+        blocks: dict[int, Best] = {}
+        data, candidates = None, None
         for b in batches:
             for row in b.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                order = np.argsort(ids, kind="stable")
-                dense = unpacked(row["kind"], row["width"], row["weights"], len(ids))[order]
-                ids = ids[order]
-                mine = np.frombuffer(row["qids"], np.int64)
-                asked = unpacked(row["qkind"], row["qwidth"], row["qweights"], len(mine))
-                scores = accumulate(asked, postings(dense), len(ids))
-                width = min(dense.shape[1], asked.shape[1])
-                parts = []
-                for j, own in enumerate(mine.tolist()):
-                    at = select(scores[:, j], k + 1)
-                    same = ids[at] == own
-                    for i in np.flatnonzero(same).tolist():  # equal weights, too
-                        x = dense[at[i]]
-                        same[i] = bool((x[:width] == asked[j, :width]).all() and not x[width:].any() and not asked[j, width:].any())
-                    m = len(at)
-                    parts.append((np.full(m, row["block"]), np.full(m, j), np.full(m, own), ids[at], scores[at, j], same))
-                columns = [np.concatenate(p) for p in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.astype(np.int64)) for p in columns[:5]] + [pa.array(columns[5].astype(bool))], names
-                )
+                if data != (row["ids"], row["weights"]):  # blocks of queries follow each other
+                    data, candidates = (row["ids"], row["weights"]), Candidates(row)
+                if row["block"] not in blocks:
+                    ids = np.frombuffer(row["qids"], np.int64)
+                    blocks[row["block"]] = Best(ids, unpacked(row["qkind"], row["qwidth"], row["qweights"], len(ids)), k + 1)
+                blocks[row["block"]].meet(candidates)
+        for block, best in blocks.items():
+            yield best.rows(block)
 
     best = pairs.mapInArrow(run, "block bigint, number bigint, query_id bigint, vec_id bigint, score bigint, own boolean")
     # all candidates that equal the query have one score: the first of them is its own row

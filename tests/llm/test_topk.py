@@ -48,3 +48,16 @@ def test_extremes_few_rows_and_none(spark):
 
 def test_repeated_candidates_count(spark):
     assert run(spark, [(0, [1.0]), (7, [2.0]), (7, [2.0]), (8, [1.0])], 2) == [(0, 1, 7, 8192), (0, 2, 7, 8192)]
+
+
+def test_tasks_do_not_grow_with_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks of both sides: few partitions, exact results."""
+    monkeypatch.setattr(topk, "CANDIDATES", 8)
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 0.3, -0.2]) for _ in range(3)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")  # 40 blocks of queries, 100 of candidates
+    out = topk.top_k(asked, df, 4)
+    assert sorted(map(tuple, out.collect())) == brute(rows, 4)
+    assert "RoundRobinPartitioning(4000)" not in out._jdf.queryExecution().executedPlan().toString()
