@@ -97,12 +97,6 @@ def shared_folder(spark: SparkSession) -> str:
     return at.get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables of one computation in the shared folder.
 

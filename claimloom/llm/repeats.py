@@ -21,9 +21,10 @@ trigger, the phrase's key.
 5. A key with more contexts than a bucket may hold is split by content:
    its windows go one by one to the partition of their 128-bit hash.
 
-Only sizes that are fixed reach the driver or every executor: bitmaps
+Only bounded sizes reach the driver or every executor: bitmaps
 that tell which phrases to send, whose false hits cost rows but never
-change results.  Counts and firsts are aggregations, so a hot phrase is
+change results.  Tables and shuffle files go as soon as nothing reads
+them any more.  Counts and firsts are aggregations, so a hot phrase is
 combined before it is shuffled.
 """
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpoint, map_batches, written
+from claimloom.llm.common import Scratch, collect_garbage, map_batches
 
 #: Bytes of a repeated string; places a trigger may have in it; bytes of
 #: the rolling hash.
@@ -46,8 +47,8 @@ LENGTH, SPREAD, ROLL = 100, 50, 16
 BUCKET, HOT = 2_000, 2_000
 #: Bytes of text hashed at once (a longer text alone).
 CHUNK = 1 << 18
-#: log2 of the bits of a bitmap (8 MB).
-BITMAP = 26
+#: log2 of the bits of a bitmap at most (32 MB).
+BITMAP = 28
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -143,21 +144,32 @@ def chunks(texts: list[str | None]):
         at = end
 
 
-def _bitmap(rows: DataFrame, col: str):
-    """Broadcast bitmap of fixed size over a column of hashes."""
+def _bitmap(rows: DataFrame, col: str, count: int):
+    """Broadcast bitmap over a column of ``count`` hashes: two bits for
+    each, of as many that few are set, up to ``BITMAP``."""
+    bits = min(BITMAP, max(12, (64 * count).bit_length()))
     words = (
-        rows.groupBy(F.expr(f"shiftright({col}, 6) & {(1 << (BITMAP - 6)) - 1}").alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, cast({col} & 63 AS int)))").alias("bits"))
+        rows.select(F.explode(F.array(F.col(col), F.shiftrightunsigned(col, 32))).alias("h"))
+        .groupBy(F.expr(f"shiftright(h, 6) & {(1 << (bits - 6)) - 1}").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("bits"))
         .toArrow()
     )
-    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = bitmap[(h >> np.uint64(6) & np.uint64((1 << (BITMAP - 6)) - 1)).astype(np.int64)]
-    return (word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+    """Which of the hashes have both bits."""
+
+    def has(x: np.ndarray) -> np.ndarray:
+        word = bitmap[(x >> np.uint64(6) & np.uint64(len(bitmap) - 1)).astype(np.int64)]
+        return (word >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    out = has(h)
+    some = np.flatnonzero(out)
+    out[some] = has(h[some] >> np.uint64(32))
+    return out
 
 
 def _key_counts(docs: DataFrame) -> DataFrame:
@@ -340,38 +352,48 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).withColumn("sha", F.sha2("text", 256))
     base = base.withColumn("tie", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
     firsts = base.groupBy("sha").agg(F.min("id").alias("first_id"))
-    copies = checkpoint(
+    scratch = Scratch(docs.sparkSession)
+
+    def table(rows: DataFrame) -> DataFrame:
+        out = scratch.table(rows)
+        collect_garbage(docs.sparkSession)
+        return out
+
+    copies = table(
         base.select("id", "tie", "sha").join(firsts, "sha").where(F.col("id") > F.col("first_id"))
         .select("id", "tie").distinct().select("id", "tie", _python_id("id", "tie").alias("mark"))
     )
-    own = _bitmap(copies, "mark")
+    own = _bitmap(copies, "mark", copies.count())
     # texts that may be copies by the bitmap are looked up exactly, the others go on at once
     flat = base.select("id", "tie", "text")
     maybe = _marked(flat, own)
     unique = maybe.where("not hit").select("id", "tie", "text").unionByName(
         maybe.where("hit").select("id", "tie", "text").join(copies.select("id", "tie"), ["id", "tie"], "left_anti")
     )
-    repeated = _bitmap(_key_counts(unique).where("n > 1"), "key")
+    keys = table(_key_counts(unique).where("n > 1").select("key"))
+    repeated = _bitmap(keys, "key", keys.count())
+    scratch.drop(keys)
     # key and content together are a context's hash of 128 bits
-    contexts = written(_contexts(unique, repeated))
+    contexts = table(_contexts(unique, repeated))
     classes = contexts.groupBy("key", "content").agg(F.min(F.struct("id", "tie", "lo")).alias("first"))
-    several = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    several = table(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total, most, n_several = several.agg(F.sum("n"), F.max("n"), F.count("*")).first()
     # by a bitmap, not a join: a false hit only adds a context that is there
-    edges = _marked(classes, _bitmap(several, "key"), "key", hashed=True).where("hit").select(
+    edges = _marked(classes, _bitmap(several, "key", n_several), "key", hashed=True).where("hit").select(
         _python_id("first.id", "first.tie", "first.lo").alias("mark")
     )
-    marked = _bitmap(edges, "mark")
+    marked = _bitmap(edges, "mark", total or 0)
     whole = _later(contexts, ["key", "content"], classes).select(
         "id", "tie", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("to")
     )
-    bodies = written(_bodies(unique, marked))
-    total, most = several.agg(F.sum("n"), F.max("n")).first()
+    bodies = table(_bodies(unique, marked))
     hot = several.where(F.col("n") > HOT).select("key")
     split = (most or 0) > HOT
     cold = bodies.join(hot, "key", "left_anti") if split else bodies
     single = _by_suffixes(cold, 1 + (total or 0) // BUCKET)
+    windows = None
     if split:
-        windows = written(_windows(bodies.join(hot, "key", "left_semi")))
+        windows = table(_windows(bodies.join(hot, "key", "left_semi")))
         first = windows.groupBy("w1", "w2").agg(
             F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")
         )
@@ -379,12 +401,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _later(windows, ["w1", "w2"], first.where("n > 1").drop("n")).select("id", "tie", "lo")
         )
     single = single.select("id", "tie", "lo", (F.col("lo") + LENGTH).alias("to"))
-    covers = written(
+    covers = table(
         whole.unionByName(single).groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
         .unionByName(copies.select("id", "tie", F.lit(None).cast("array<struct<lo:bigint,to:bigint>>").alias("spans")))
         .withColumn("mark", _python_id("id", "tie"))
     )
-    touched = _bitmap(covers, "mark")
+    scratch.drop(*(x for x in (copies, contexts, several, bodies, windows) if x is not None))
+    touched = _bitmap(covers, "mark", covers.count())
     final = _marked(base.select("id", "tie", "text", "key_id"), touched)
     left = final.where("not hit").select("key_id", "text", F.lit(False).alias("copy"),
                                          F.lit(None).cast("array<struct<lo:bigint,to:bigint>>").alias("spans"))

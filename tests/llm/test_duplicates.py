@@ -190,3 +190,30 @@ def test_contamination(spark, monkeypatch, limit):
     assert clean == sum(not x[5] for x in contaminated(texts, items))
     assert decontaminate.decontaminate(docs(spark), b.where("item_id = 'none'")).where("contaminated").isEmpty()
     assert decontaminate.decontaminate(none(spark), b).isEmpty()
+
+
+def test_repeats_leave_one_table(spark):
+    """What has been read is deleted; the result reads the covers only."""
+    from pathlib import Path
+
+    from claimloom.llm import common
+
+    at = Path(common.shared_folder(spark).removeprefix("file:"))
+    files = lambda: {p.parent for p in at.rglob("*.parquet")} | set(at.glob("*/rdd-*"))
+    before = files()
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(0, text), (1, f"first {text}"), (2, f"second {text} more"), (3, text), (4, "short")]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(files() - before) <= 1
+    assert [r.n_removed > 0 for r in out.orderBy("doc_id").collect()] == [False, True, True, True, False]
+
+
+def test_bitmap_grows_with_its_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.xxhash64("id").alias("h"))
+    bitmap = repeats._bitmap(rows, "h", 40_000).value
+    held = np.array([r.h for r in rows.collect()], np.int64).view(np.uint64)
+    others = np.array([r.h for r in spark.range(10**6, 10**6 + 40_000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    assert repeats._in(bitmap, held).all() and repeats._in(bitmap, others.view(np.uint64)).mean() < 0.01
+    assert len(bitmap) <= 2 * 40_000
