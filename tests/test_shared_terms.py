@@ -54,3 +54,34 @@ def test_other_ids(spark):
     asked = spark.createDataFrame([(1, "alpha beta")], "request_id long, question string")
     out = retrieve.retrieve(asked, docs, 2, id_col="page")
     assert sorted(map(tuple, out.collect())) == [(1, 1, "p1", 2), (1, 2, "p10", 2)]
+
+
+def test_frequent_terms_counted_once_and_not_packed(spark, monkeypatch):
+    """Documents are read for the frequent terms, their number, repeated ids
+    and the blocks, and these hold no term that no request may ask for."""
+    monkeypatch.setitem(globals(), "DOCS", [*DOCS[:90], *DOCS[-2:], (91, None)])  # no id twice
+    packed = []
+    pack = shared_terms._pack
+    monkeypatch.setattr(shared_terms, "_pack", lambda *a: packed.append(out := pack(*a)) or out)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").coalesce(1).mapInArrow(counted, "doc_id long, text string")
+    asked = spark.createDataFrame(ASKED, "request_id string, question string")
+    out = retrieve.retrieve(asked, docs, 5, common=0.2)
+    assert sorted(map(tuple, out.collect()), key=str) == expected(5, 0.2)
+    assert seen.value <= 4 * len(DOCS)
+    df = Counter(w for _, t in DOCS for w in words(t))
+    found, held = [], set()
+    for row in packed[0].collect():
+        ids, sizes, codes, counts, vocabulary = shared_terms._unpacked(row.block)
+        terms = iter(vocabulary.take(codes).to_pylist())
+        found += [(i, sorted(next(terms) for _ in range(n))) for i, n in zip(ids.to_pylist(), sizes.tolist())]
+        held |= {*vocabulary.to_pylist()}
+    rare = {w for w, n in df.items() if n <= len(DOCS) * 0.2}
+    assert held == rare and len(rare) < len(df)
+    assert sorted(found) == sorted((i, sorted(words(t) & rare)) for i, t in DOCS)
