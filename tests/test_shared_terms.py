@@ -85,3 +85,23 @@ def test_frequent_terms_counted_once_and_not_packed(spark, monkeypatch):
     rare = {w for w, n in df.items() if n <= len(DOCS) * 0.2}
     assert held == rare and len(rare) < len(df)
     assert sorted(found) == sorted((i, sorted(words(t) & rare)) for i, t in DOCS)
+
+
+def test_query_counts_frequent_terms(spark, tmp_path):
+    """40 documents share a word, far more than a fiftieth of them."""
+    from claimloom.plans.queries import QUERIES, SQL
+
+    docs = [(i, "common words" + (" seldom" if i in (7, 9) else "")) for i in range(40)]
+    asked = [(1, 0, "user", "common seldom"), (1, 1, "assistant", "words"), (2, 0, "user", "Words!"), (3, 0, "user", "unknown")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = [("1-0", at, i, 2 if at < 3 else 1) for at, i in enumerate([7, 9, *range(7), 8], 1)]
+    want += [("2-0", i + 1, i, 1) for i in range(10)]
+    out = QUERIES["retrieve_topk"](spark, str(tmp_path)).select("request_id", "rank", "doc_id", "n_shared")
+    assert sorted(map(tuple, out.collect())) == want
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.sql(SQL["retrieve_topk"]).fetchall()) == want
