@@ -105,3 +105,38 @@ def test_query_counts_frequent_terms(spark, tmp_path):
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(con.sql(SQL["retrieve_topk"]).fetchall()) == want
+
+
+@pytest.mark.parametrize("most", [1, 3, 70])
+@pytest.mark.parametrize("postings", [1, 30, 1 << 18])
+def test_skipped_documents_change_nothing(monkeypatch, most, postings):
+    """Ties, missing ids, counts and block after block, against scores of all pairs."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(shared_terms, "CHUNK", 7)
+    monkeypatch.setattr(shared_terms, "POSTINGS", postings)
+    rnd = random.Random(most * postings)
+    terms = [f"w{i}" for i in range(60)]
+
+    def drawn(n, at_most):
+        return [Counter({w: rnd.randint(1, most) for w in rnd.choices(terms, [1 / (i + 1) for i in range(60)], k=rnd.randint(0, at_most))}) for _ in range(n)]
+
+    def block(ids, rows):
+        lists = [[list(r) for r in rows], [list(r.values()) for r in rows]]
+        columns = [pa.array(ids, pa.int64()), pa.array(lists[0], pa.list_(pa.string())), pa.array(lists[1], pa.list_(pa.int64()))]
+        return shared_terms._packed(pa.table(columns, ["id", "terms", "counts"]), shared_terms.NONE)
+
+    asked, ids = drawn(30, 20), rnd.sample(range(1000), 400)
+    held, scores = shared_terms.Asked(block(range(30), asked), 4), []
+    for at in range(0, 400, 80):
+        docs, some = drawn(80, 25), [None if rnd.random() < 0.03 else i for i in ids[at : at + 80]]
+        held.meet(block(some, docs))
+        scores += [(r, i, sum(n * d[w] for w, n in q.items())) for r, q in enumerate(asked) for i, d in zip(some, docs)]
+    want = []
+    for r in range(30):
+        mine = [x for x in scores if x[0] == r and x[2]]
+        want += sorted((x for x in mine if x[1] is not None), key=lambda x: (-x[2], x[1]))[:4] + [x for x in mine if x[1] is None]
+    found = held.rows(pa.schema([("r", pa.int64()), ("i", pa.int64()), ("n", pa.int64())])).to_pylist()
+    assert sorted((tuple(x.values()) for x in found), key=str) == sorted(want, key=str)
